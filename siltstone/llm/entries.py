@@ -24,6 +24,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op8_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bwtmerge import remove_repeated_bytes
+
+    return remove_repeated_bytes(_docs(spark, sf_dir), output="sha256")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +45,7 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_suffix_trees": op4_suffix_trees, "op7_simhash": op7_simhash, "op9_byte_bpe": op9_byte_bpe, "op10_lpt_sharding": op10_lpt_sharding}
+    return {"op4_suffix_trees": op4_suffix_trees, "op7_simhash": op7_simhash, "op8_bwt_merge": op8_bwt_merge, "op9_byte_bpe": op9_byte_bpe, "op10_lpt_sharding": op10_lpt_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
