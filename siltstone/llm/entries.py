@@ -18,6 +18,18 @@ def op4_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_docs(spark, sf_dir), output="sha256")
 
 
+def op5_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_docs(spark, sf_dir))
+
+
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge_quality
+
+    return judge_quality(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -45,7 +57,7 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_suffix_trees": op4_suffix_trees, "op7_simhash": op7_simhash, "op8_bwt_merge": op8_bwt_merge, "op9_byte_bpe": op9_byte_bpe, "op10_lpt_sharding": op10_lpt_sharding}
+    return {"op4_suffix_trees": op4_suffix_trees, "op5_string_kernels": op5_string_kernels, "op6_weak_supervision": op6_weak_supervision, "op7_simhash": op7_simhash, "op8_bwt_merge": op8_bwt_merge, "op9_byte_bpe": op9_byte_bpe, "op10_lpt_sharding": op10_lpt_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
