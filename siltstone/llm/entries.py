@@ -12,6 +12,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramlm import score_documents
+
+    return score_documents(_docs(spark, sf_dir))
+
+
 def op4_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixtrees import remove_repeats
 
@@ -57,7 +63,7 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_suffix_trees": op4_suffix_trees, "op5_string_kernels": op5_string_kernels, "op6_weak_supervision": op6_weak_supervision, "op7_simhash": op7_simhash, "op8_bwt_merge": op8_bwt_merge, "op9_byte_bpe": op9_byte_bpe, "op10_lpt_sharding": op10_lpt_sharding}
+    return {"op1_backoff_automaton": op1_backoff_automaton, "op4_suffix_trees": op4_suffix_trees, "op5_string_kernels": op5_string_kernels, "op6_weak_supervision": op6_weak_supervision, "op7_simhash": op7_simhash, "op8_bwt_merge": op8_bwt_merge, "op9_byte_bpe": op9_byte_bpe, "op10_lpt_sharding": op10_lpt_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
