@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:

@@ -40,7 +40,7 @@ _AT_BITS = 22
 
 
 def _pieces(table):
-    for rows, data, offsets in tk.text_pieces(table.select(["doc_id", "text"]).combine_chunks().to_batches(), piece_bytes=1 << 20):
+    for rows, data, offsets in tk.text_pieces(table.select(["doc_id", "text"]).combine_chunks().to_batches(), piece_bytes=1 << 19):
         yield rows, data, offsets, tk._BYTE_VALUES[data]
 
 

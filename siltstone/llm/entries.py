@@ -18,6 +18,12 @@ def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_docs(spark, sf_dir))
 
 
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmlextract import extract_pages
+
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixtrees import remove_repeats
 
@@ -63,7 +69,7 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_backoff_automaton": op1_backoff_automaton, "op4_suffix_trees": op4_suffix_trees, "op5_string_kernels": op5_string_kernels, "op6_weak_supervision": op6_weak_supervision, "op7_simhash": op7_simhash, "op8_bwt_merge": op8_bwt_merge, "op9_byte_bpe": op9_byte_bpe, "op10_lpt_sharding": op10_lpt_sharding}
+    return {"op1_backoff_automaton": op1_backoff_automaton, "op2_wrapper_induction": op2_wrapper_induction, "op4_suffix_trees": op4_suffix_trees, "op5_string_kernels": op5_string_kernels, "op6_weak_supervision": op6_weak_supervision, "op7_simhash": op7_simhash, "op8_bwt_merge": op8_bwt_merge, "op9_byte_bpe": op9_byte_bpe, "op10_lpt_sharding": op10_lpt_sharding}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,7 +21,9 @@ _M64 = (1 << 64) - 1
 BYTE_BASE = 0x9E3779B97F4A7C1B
 WORD_BASE = 0xC2B2AE3D27D4EB53
 #: Rows are handed to the kernels in pieces of about so many bytes.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
+#: Spans are hashed in pieces of about so many bytes.
+HASH_BYTES = 1 << 20
 
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
@@ -110,15 +112,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[starts[i]:ends[i]] for every i."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    scale = powers(BYTE_BASE, len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * scale, out=total[1:])
-    back = powers(pow(BYTE_BASE, -1, 1 << 64), len(data) + 1)
-    h = (total[ends] - total[starts]) * back[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of data[starts[i]:ends[i]] for every i; spans are in order and don't overlap."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + HASH_BYTES)))
+        low, high = int(starts[at]), int(ends[to - 1])
+        part = data[low:high]
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUES[part] * powers(BYTE_BASE, len(part)), out=total[1:])
+        back = powers(pow(BYTE_BASE, -1, 1 << 64), len(part) + 1)
+        begin, end = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
+        at = to
+    return out
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
