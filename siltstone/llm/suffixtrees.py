@@ -34,6 +34,8 @@ WIDTH, GRAM = 13, 5
 LONG_PREFIX_AT = 50_000
 #: Windows of one run, at most; longer runs are cut.
 RUN = 32
+#: Parts of the key space for each block of texts.
+PARTS_PER_BLOCK = 4
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -299,6 +301,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
         raise ValueError("width must be at least 2, gram between 1 and width")
     carry = carry or []
     texts, n = blocked(docs, id_col, text_col, carry, block_bytes)
+    n *= PARTS_PER_BLOCK
     asked = texts.groupBy("block").applyInArrow(_ask_anchors(n, width, gram), MESSAGE)
     told = asked.groupBy("part").applyInArrow(_answer_anchors, MESSAGE)
     sent = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send_runs(n, width, gram), MESSAGE)
