@@ -37,6 +37,8 @@ SHARD_BYTES, SHARDS = 1 << 18, 255
 #: Never part of UTF-8, so it can end the strings of a shard.
 _END = 0xFF
 _AT_BITS = 22
+#: Parts of the key space for each block of texts.
+PARTS_PER_BLOCK = 4
 
 
 def _pieces(table):
@@ -331,6 +333,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
         raise ValueError("gram must be between 1 and width")
     carry = carry or []
     texts, n = blocked(docs, id_col, text_col, carry, block_bytes)
+    n *= PARTS_PER_BLOCK
     asked = texts.groupBy("block").applyInArrow(_ask(n, width, gram), MESSAGE)
     told = asked.groupBy("part").applyInArrow(_answer, MESSAGE)
     sent = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(n, width, gram), MESSAGE)
