@@ -1,11 +1,562 @@
-"""All queries over the driver's tables and the SQL they must agree with."""
+"""All queries over the driver's tables and the SQL they must agree with.
+
+Each entry applies one operator of the library to whole tables; scores are rounded
+half-even in both engines, and every ranking has an explicit tie-break.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import ids, security, text
+from .operators import chunking, cleaning, context, evaluation, governance, graph, retrieval, state
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_TOKENS = "regexp_extract_all({0}, '[A-Za-z]+|[0-9]+|[一-鿿]')"
+_STRIP = "regexp_replace({0}, '^[\\s\\x0B\\x{{3000}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{0085}}]+|[\\s\\x0B\\x{{3000}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{0085}}]+$', '', 'g')"
+
+# ---------------------------------------------------------------- retrieval
+
+_POSTINGS = f"""
+toks as (select doc_id, {_TOKENS.format("coalesce(text, '')")} as toks from documents),
+stats as (select count(*) as n, avg(len(toks)) as avgdl from toks),
+post as (select doc_id, term, count(*) as tf, any_value(dl) as dl from (select doc_id, len(toks) as dl, unnest(toks) as term from toks) group by doc_id, term),
+df as (select term, count(*) as df from post group by term),
+asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({_TOKENS.format("text")}) as term from benchmark) group by item_id, term)
+"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str, okapi: bool) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    scored = retrieval.bm25_scores(_table(spark, sf_dir, "documents"), items, okapi=okapi).withColumn("score", F.bround("score", 6))
+    return retrieval.top_k(scored, ["query_id"], "score", "id", 10).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(f"""with {_POSTINGS},
+s as (select item_id, doc_id, round_even(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+      from post join df using (term) join asked using (term) cross join stats group by item_id, doc_id)
+select item_id, doc_id, rank, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s) where rank <= 10""")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return _bm25(spark, sf_dir, okapi=False)
+
+
+@query(f"""with {_POSTINGS},
+raw as (select term, ln(n - df + 0.5) - ln(df + 0.5) as raw from df cross join stats),
+idf as (select term, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
+s as (select item_id, doc_id, round_even(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+      from post join idf using (term) join asked using (term) cross join stats group by item_id, doc_id)
+select item_id, doc_id, rank, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s) where rank <= 10""")
+def bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with Okapi's idf, negative values floored."""
+    return _bm25(spark, sf_dir, okapi=True)
+
+
+@query(f"""with toks as (select doc_id, unnest({_TOKENS.format("coalesce(text, '')")}) as term from documents)
+select term, count(*) as cf, count(distinct doc_id) as df from toks group by term""")
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collection and document frequency of every term."""
+    return retrieval.postings(_table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, str]:
+    df = _table(spark, sf_dir, "embeddings")
+    key = next(c for c, t in df.dtypes if t in ("bigint", "int"))
+    vec = next(c for c, t in df.dtypes if t.startswith("array"))
+    return df, key, vec
+
+
+_COS = "round_even(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-9), 6)"
+_VEC = "v as (select vec_id as id, CAST(embedding as DOUBLE[]) as v from embeddings), q as (select id as query_id, v from v where id % 20 = 0)"
+
+
+def _cosine_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, key, vec = _vectors(spark, sf_dir)
+    rows = df.select(F.col(key).alias("id"), F.col(vec).alias("v"))
+    asked = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return retrieval.cosine_scores(rows, asked).withColumn("score", F.bround("score", 6))
+
+
+@query(f"""with {_VEC}, s as (select a.query_id, b.id, {_COS} as score from q a, v b)
+select query_id, id, rank, score from (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) where rank <= 10""")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every twentieth vector, against all."""
+    return retrieval.top_k(_cosine_queries(spark, sf_dir), ["query_id"], "score", "id", 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""with {_VEC}, s as (select a.query_id, b.id, {_COS} as score from q a, v b where b.id <> a.query_id),
+d as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s),
+p as (select *, row_number() over (partition by query_id order by score, id) as rank from s),
+f as (select query_id, id, sum(w) as score from (select query_id, id, 1.0 / (60 + rank) as w from d where rank <= 64 union all select query_id, id, 2.0 / (60 + rank) from p where rank <= 32) group by query_id, id)
+select query_id, id, round_even(score, 9) as score from f""")
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rankings fused by reciprocal ranks: the nearest 64 and the farthest 32."""
+    scored = _cosine_queries(spark, sf_dir).filter("id <> query_id")
+    near = retrieval.top_k(scored, ["query_id"], "score", "id", 64)
+    far = retrieval.top_k(scored.withColumn("score", -F.col("score")), ["query_id"], "score", "id", 32)
+    return retrieval.reciprocal_rank_fusion((near, 1.0), (far, 2.0)).withColumn("score", F.bround("score", 9))
+
+
+@query(r"""with t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') as ws from documents),
+w as (select doc_id, unnest(ws) as term, generate_subscripts(ws, 1) as pos from t),
+c as (select doc_id, term, count(*) as n, min(pos) as first from w where term not in ('the', 'and', 'for', 'are') group by doc_id, term)
+select doc_id, term, n, rank from (select *, row_number() over (partition by doc_id order by n desc, first) as rank from c) where rank <= 5""")
+def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent words of every document."""
+    return retrieval.keyword_top(_table(spark, sf_dir, "documents"), "doc_id", "text", text.KEYWORD_STOPS).select(F.col("id").alias("doc_id"), "term", "n", F.col("rank").cast("long").alias("rank"))
+
+
+# ---------------------------------------------------------------- cleaning
+
+
+@query(f"""with l as (select distinct doc_id, {_STRIP.format("line")} as line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents))
+select line, count(*) as n_docs from l where length(line) between 1 and 60 group by line having count(*) >= greatest(3, floor(0.001 * (select count(*) from documents)))""")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lines that are found in at least 3 documents and a thousandth of them."""
+    return cleaning.repeated_lines(_table(spark, sf_dir, "documents"), "doc_id", "text", ratio=0.001)
+
+
+@query(f"""with r as (select {_STRIP.format("line")} as line, doc_id from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)),
+rep as (select line from (select distinct line, doc_id from r) where length(line) between 1 and 60 group by line having count(*) >= greatest(3, floor(0.001 * (select count(*) from documents)))),
+s as (select doc_id, string_split(text, chr(10)) as ls from documents),
+x as (select doc_id, unnest(ls) as raw, generate_subscripts(ls, 1) as pos from s),
+k as (select doc_id, string_agg(raw, chr(10) order by pos) as t from x where {_STRIP.format("raw")} not in (select line from rep) group by doc_id)
+select d.doc_id, length(coalesce(k.t, '')) as n_chars, md5(coalesce(k.t, '')) as digest from documents d left join k using (doc_id)""")
+def strip_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their repeated lines."""
+    docs = _table(spark, sf_dir, "documents")
+    out = cleaning.strip_lines(docs, cleaning.repeated_lines(docs, "doc_id", "text", ratio=0.001), "doc_id", "text")
+    return out.select(F.col("id").alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query("select sha256(text) as digest, min(doc_id) as first_id, count(*) as n from documents group by 1")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.exact_copies(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash and banding; xxhash64 signatures, which SQL elsewhere can't compute (tests hold it against exact similarity)."""
+    out = cleaning.near_duplicate_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.withColumn("similarity", F.bround("similarity", 6))
+
+
+_MIN = ", ".join(f"list_min(list_transform(h, lambda x: (x * {(i * 2_654_435_761 + 1) | 1}::HUGEINT + {i * 40_503 + 17}) % 2305843009213693951::HUGEINT))::BIGINT" for i in range(4))
+
+
+@query(f"""with g as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from benchmark),
+s as (select item_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' '))) as sh from g),
+h as (select item_id, list_transform(sh, lambda x: ('0x' || substr(md5(x), 1, 15))::HUGEINT) as h from s)
+select item_id, m[1] as m0, m[2] as m1, m[3] as m2, m[4] as m3 from (select item_id, [{_MIN}] as m from h)""")
+def minhash_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four permutations of the portable signature of every benchmark item."""
+    sig = cleaning.portable_minhash(text.shingles(F.col("text")), 4)
+    return _table(spark, sf_dir, "benchmark").select("item_id", sig.alias("s")).select("item_id", *[F.get("s", F.lit(i)).alias(f"m{i}") for i in range(4)])
+
+
+@query("""with a as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents),
+b as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from benchmark),
+ga as (select doc_id, unnest(list_distinct(list_transform(generate_series(1, greatest(len(w) - 7, 1)), lambda i: array_to_string(w[i:i+7], ' ')))) as g from a),
+gb as (select item_id, unnest(list_distinct(list_transform(generate_series(1, greatest(len(w) - 7, 1)), lambda i: array_to_string(w[i:i+7], ' ')))) as g from b)
+select doc_id, item_id, count(*) as shared from ga join gb using (g) where g <> '' group by doc_id, item_id""")
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share eight-word shingles with benchmark items."""
+    return cleaning.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query(f"""with s as (select doc_id, text, {_STRIP.format("coalesce(text, '')")} as s from documents)
+select doc_id, case when length(s) < 30 then 'too_short(<30)' when regexp_full_match(s, '[\\s0-9.\\-_、。，,]+') then 'digits_punct_only'
+  when len(regexp_extract_all(s, '\\.{{4,}}\\s*[0-9]+')) >= 3 then 'looks_like_toc'
+  when length(regexp_replace(s, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / greatest(length(s), 1) < 0.5 then 'mostly_symbols' else 'ok' end as verdict,
+ case when coalesce(len(regexp_extract_all(text, '[A-Za-z一-鿿]')), 0) < 5 then 'unknown'
+  when len(regexp_extract_all(text, '[一-鿿]')) / len(regexp_extract_all(text, '[A-Za-z一-鿿]')) >= 0.7 then 'zh'
+  when len(regexp_extract_all(text, '[一-鿿]')) / len(regexp_extract_all(text, '[A-Za-z一-鿿]')) <= 0.1 then 'en' else 'mixed' end as script,
+ greatest(len(regexp_extract_all(text, '[一-鿿]')), floor(len(regexp_extract_all(text, '[A-Za-z]+')) * 13 / 10))::INTEGER as approx_tokens
+from s""")
+def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", text.quality_verdict(t).alias("verdict"), text.detect_language(t).alias("script"), text.approx_tokens(t).alias("approx_tokens"))
+
+
+@query(f"""with v as (select doc_id, length({_STRIP.format("coalesce(text, '')")}) >= 30 as long_enough from documents)
+select quality, toxic, long_enough, count(*) as n from v join labels using (doc_id) group by all""")
+def labels_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the length rule agrees with the labels."""
+    v = _table(spark, sf_dir, "documents").select("doc_id", (~text.quality_verdict(F.col("text")).startswith("too_short")).alias("long_enough"))
+    return v.join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic", "long_enough").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- personal data, prompts, access
+
+_EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
+
+
+@query(f"""select 'email' as type, sum(len(regexp_extract_all(text, '\\b{_EMAIL}\\b')))::BIGINT as n from documents
+union all select 'bank_card', sum(len(regexp_extract_all(text, '(?:^|[^0-9])(4[0-9]{{15}}|5[1-5][0-9]{{14}}|62[0-9]{{14,17}}|3[47][0-9]{{13}})(?:[^0-9]|$)')))::BIGINT from documents
+union all select 'cn_mobile', sum(len(regexp_extract_all(text, '(?:^|[^0-9])(1[3-9][0-9]{{9}})(?:[^0-9]|$)')))::BIGINT from documents""")
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by type; separators are consumed, as the SQL side has no look-behind."""
+    rules = {"email": rf"\b{_EMAIL}\b", "bank_card": r"(?:^|[^0-9])(4[0-9]{15}|5[1-5][0-9]{14}|62[0-9]{14,17}|3[47][0-9]{13})(?:[^0-9]|$)", "cn_mobile": r"(?:^|[^0-9])(1[3-9][0-9]{9})(?:[^0-9]|$)"}
+    docs = _table(spark, sf_dir, "documents").agg(*[F.sum(F.regexp_count("text", F.lit(p))).alias(k) for k, p in rules.items()])
+    return docs.select(F.explode(F.array(*[F.struct(F.lit(k).alias("type"), F.col(k).alias("n")) for k in rules])).alias("x")).select("x.*")
+
+
+@query(f"""with e as (select doc_id, unnest(regexp_extract_all(text, '\\b{_EMAIL}\\b')) as v from documents)
+select doc_id, substr(split_part(v, '@', 1), 1, 1) || repeat('*', greatest(length(split_part(v, '@', 1)) - 1, 3)::INTEGER) || '@' || regexp_replace(v, '^[^@]*@', '') as masked, count(*) as n from e group by 1, 2""")
+def pii_mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rf"\b{_EMAIL}\b"), F.lit(0))).alias("v"))
+    return found.groupBy("doc_id", security.mask_pii(F.col("v"), F.lit("email")).alias("masked")).agg(F.count("*").alias("n"))
+
+
+@query()
+def pii_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine rules by document, with look-arounds (rows only: no look-behind in the SQL engine)."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(security.pii_hits(F.col("text"))).alias("h"))
+    return rows.groupBy("doc_id", F.col("h.type").alias("type")).agg(F.count("*").alias("n"))
+
+
+@query(r"""with k as (select conv_id, turn, role,
+ (case when regexp_matches(text, '(?i)ignore\s+(?:all|previous|prior|above)\s+(?:instructions?|prompts?|rules?)|disregard\s+(?:all|previous|prior|above)|forget\s+(?:all|previous|prior|your)\s+(?:instructions?|rules?|context)') then 1 else 0 end)
+ + (case when regexp_matches(text, '(?i)you\s+are\s+now\s+(?:a|an|the)\s+\w+|your\s+new\s+(?:role|persona|identity)\s+is') then 1 else 0 end)
+ + (case when regexp_matches(text, '(?i)(?:show|print|reveal|output)\s+(?:your|the)\s+(?:system|initial|hidden|original)\s+prompt') then 1 else 0 end)
+ + (case when regexp_matches(text, '(?i)\bDAN\s+mode\b|developer\s+mode\s+(?:enabled|on|activated)|do anything now') then 1 else 0 end)
+ + (case when regexp_matches(text, '(?i)</?(?:system|assistant|user|instruction|prompt)\s*>') then 1 else 0 end)
+ + (case when regexp_matches(text, '(?i)<\|(?:im_start|im_end|system|endoftext)\|>') then 1 else 0 end)
+ + (case when regexp_matches(text, '(?i)(?:show|list|dump)\s+(?:all|every)\s+(?:emails?|passwords?|secrets?|tokens?|api\s*keys?)') then 1 else 0 end) as kinds from conversations)
+select conv_id, turn, role, kinds, kinds >= 2 as blocked from k""")
+def injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of injection attempts in every turn (the SQL lists the Latin rules; the tables have no Chinese)."""
+    kinds = F.size(security.injection_kinds(F.col("text")))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", kinds.alias("kinds"), (kinds >= 2).alias("blocked"))
+
+
+_SENS = "case doc_id % 4 when 0 then 'public' when 1 then 'internal' when 2 then 'restricted' else '' end"
+_SENS_COL = "CASE doc_id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'restricted' ELSE '' END"
+
+
+@query(f"""with d as (select doc_id, {_SENS} as sensitivity from documents), r(role, lvl) as (values ('intern', 1), ('manager', 2), ('executive', 3), ('guest', 1))
+select role, sensitivity, count(*) as n from d, r where lvl >= case sensitivity when 'internal' then 2 when 'restricted' then 3 else 1 end group by role, sensitivity""")
+def acl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What four roles may see of documents with derived sensitivities."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_SENS_COL).alias("sensitivity"))
+    seen = None
+    for role in ("intern", "manager", "executive", "guest"):
+        part = governance.visible_to(docs, role).select(F.lit(role).alias("role"), "sensitivity")
+        seen = part if seen is None else seen.unionByName(part)
+    return seen.groupBy("role", "sensitivity").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- pages, chunks, identities
+
+_STRIPPED = """regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g')"""
+for _a, _b in ((r"(?i)</t[hd]>\s*<t[hd][^>]*>", " | "), (r"(?i)<tr[^>]*>", "' || chr(10) || '| "), (r"(?i)</tr>", " |"), *((rf"(?i)<h{_n}[^>]*>", "' || chr(10) || '" + "#" * _n + " ") for _n in range(1, 7)), (r"(?i)</(h[1-6]|p|div|li|br)>", "' || chr(10) || '"), (r"<[^>]+>", "")):
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '{_a}', '{_b}', 'g')"
+for _a, _b in text.ENTITIES:
+    _STRIPPED = f"replace({_STRIPPED}, '{_a}', '{_b}')"
+
+
+@query(f"select page_id, md5(t) as digest, length(t) as n_chars from (select page_id, {_STRIPPED} as t from pages)")
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.html_strip(F.col("html"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(t).alias("digest"), F.char_length(t).cast("long").alias("n_chars"))
+
+
+@query(r"""select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path,
+ not (contains(url, '.env') or contains(url, '/.ssh/') or contains(url, '/secrets/') or contains(url, '/etc/') or contains(url, '../')) as allowed from pages""")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, r"^[a-z]+://([^/:?#]+)", 1).alias("host"), F.regexp_extract(u, r"^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path"), security.path_allowed(u).alias("allowed"))
+
+
+@query("""with c as (select doc_id, text, unnest(generate_series(0, greatest(length(text) - 1, 0) // 170)) as i from documents where text is not null),
+w as (select doc_id::VARCHAR as source_id, i::INTEGER as ordinal, substr(text, (i * 170 + 1)::INTEGER, 200) as t from c)
+select source_id, ordinal, substr(sha256(source_id || chr(0) || '' || chr(0) || t), 1, 16) as chunk_id, length(t) as n_chars from w where t <> ''""")
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunking.split_fixed(_table(spark, sf_dir, "documents"))
+    return chunks.select("source_id", "ordinal", ids.chunk_id(F.col("source_id"), F.col("heading_path"), F.col("text")).alias("chunk_id"), F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def chunk_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading-aware chunks with identities (a fold over lines; tests hold it against literals)."""
+    return chunking.with_identity(chunking.split(_table(spark, sf_dir, "documents"), "layout"), F.lit("")).select("source_id", "ordinal", "chunk_id", "n_chars", "has_table", "has_number")
+
+
+@query()
+def chunk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_parents(_table(spark, sf_dir, "documents")).select("chunk_id", "source_id", "chunk_type", "ordinal", "parent_id")
+
+
+@query("""with c as (select doc_id, text, unnest(generate_series(0, greatest(length(text) - 1, 0) // 170)) as i from documents where text is not null),
+w as (select substr(text, (i * 170 + 1)::INTEGER, 200) as t from c)
+select 'fixed' as strategy, count(*) as n, round_even(avg(length(t)), 6) as avg_size, max(length(t)) as max_size, min(length(t)) as min_size, round_even(sum(length(t)) / (select sum(length(text)) from documents), 6) as coverage from w where t <> ''""")
+def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = chunking.chunk_stats(chunking.split_fixed(docs).withColumn("strategy", F.lit("fixed")), docs, "strategy")
+    return out.select("strategy", "n", F.bround("avg_size", 6).alias("avg_size"), F.col("max_size").cast("long").alias("max_size"), F.col("min_size").cast("long").alias("min_size"), F.bround("coverage", 6).alias("coverage"))
+
+
+@query("""select doc_id, substr(sha256(source || lang || coalesce(text, '')), 1, 16) as content_hash, source || '::' || doc_id || '::text::' || lpad((doc_id % 1000)::VARCHAR, 3, '0') as block_id, substr(sha256(text), 1, 16) as change_key from documents""")
+def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return _table(spark, sf_dir, "documents").select("doc_id", ids.content_hash(c("source"), c("lang"), c("text")).alias("content_hash"), ids.block_id(c("source"), c("doc_id"), F.lit("text"), c("doc_id") % 1000).alias("block_id"), ids.change_key(F.lit(""), c("text")).alias("change_key"))
+
+
+@query(r"""with s as (select doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[。.!?！？\n]'), lambda x: """ + _STRIP.format("x") + r"""), lambda x: length(x) >= 2) as st from documents)
+select doc_id, len(st)::INTEGER as n_statements, coalesce(list_max(list_transform(st, lambda x: length(x))), 0)::INTEGER as longest from s""")
+def statement_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = text.statements(F.coalesce(F.col("text"), F.lit("")))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(st).alias("n_statements"), F.coalesce(F.array_max(F.transform(st, F.char_length)), F.lit(0)).alias("longest"))
+
+
+@query(r"""with a as (select d.doc_id, list_sort(list_distinct(regexp_extract_all(d.text, '\d{4}|\d{1,3}(?:[,.]\d{3})+|\d+(?:\.\d+)?'))) as nums, e.text as ctx from documents d left join documents e on e.doc_id = d.doc_id - 1)
+select doc_id, len(nums)::INTEGER as n_numbers, len(list_filter(nums, lambda x: not contains(coalesce(ctx, ''), x)))::INTEGER as n_unsupported from a where len(nums) > 0""")
+def numeric_hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of each document that the document before it doesn't have."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("ctx"))
+    nums = F.array_distinct(F.regexp_extract_all("text", F.lit(text.NUMBER_PATTERN), F.lit(0)))
+    lost = text.unsupported_numbers(F.col("text"), F.array(F.coalesce("ctx", F.lit(""))))
+    return docs.join(before, "doc_id", "left").filter(F.size(nums) > 0).select("doc_id", F.size(nums).alias("n_numbers"), F.size(lost).alias("n_unsupported"))
+
+
+# ---------------------------------------------------------------- state
+
+_OLD = "o as (select doc_id as source_id, md5(text) as k from documents where doc_id % 3 <> 0), n as (select doc_id as source_id, case when doc_id % 5 = 0 then md5(text || 'x') else md5(text) end as k from documents where doc_id % 7 <> 0)"
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, sf_dir, "documents")
+    old = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("source_id"), F.md5("text").alias("change_key"))
+    changed = F.when(F.col("doc_id") % 5 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(F.md5("text"))
+    new = docs.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("source_id"), changed.alias("change_key"))
+    return old, new
+
+
+@query(f"""with {_OLD} select source_id, case when o.k is null then 'new' when n.k is null then 'deleted' when n.k <> o.k then 'changed' else 'unchanged' end as change_type from n full join o using (source_id)""")
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _snapshots(spark, sf_dir)
+    return state.manifest_diff(new, old, full_scan=True)
+
+
+@query(f"""with {_OLD} select case when o.k is null then 'new' when n.k <> o.k then 'changed' else 'unchanged' end as change_type, count(*) as n from n left join o using (source_id) group by 1""")
+def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an incremental scan, which never infers deletions."""
+    old, new = _snapshots(spark, sf_dir)
+    return state.change_counts(state.manifest_diff(new, old, full_scan=False))
+
+
+@query(f"""with {_OLD} select source_id, k as change_key from o where source_id not in (select source_id from n) union all select source_id, k from n""")
+def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _snapshots(spark, sf_dir)
+    return state.upsert(old, new, ["source_id"])
+
+
+@query("""with e as (select doc_id % 50 as source_id, doc_id as chunk_id from documents), c as (select doc_id % 50 as source_id, doc_id as chunk_id from documents where doc_id % 50 < 20 and doc_id % 3 = 0)
+select e.source_id, e.chunk_id from e where e.source_id in (select source_id from c) and e.chunk_id not in (select chunk_id from c)""")
+def reconcile_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("source_id"), F.col("doc_id").alias("chunk_id"))
+    return state.reconcile(rows, rows.filter("source_id < 20 and chunk_id % 3 = 0"))
+
+
+@query("""select doc_id as source_id, case when doc_id % 7 <> 0 then 'run-2' else 'run-1' end as last_seen_run from documents""")
+def touch_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"))
+    return state.touch_seen(docs.withColumn("last_seen_run", F.lit("run-1")), docs.filter("source_id % 7 <> 0"), "run-2")
+
+
+@query("select source as connector, max(lpad(doc_id::VARCHAR, 12, '0')) as cursor from documents group by source")
+def next_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.next_cursor(_table(spark, sf_dir, "documents").withColumn("w", F.lpad(F.col("doc_id").cast("string"), 12, "0")), "source", "w")
+
+
+# ---------------------------------------------------------------- events, conversations
+
+
+@query("""with u as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as previous from conversations where role = 'user') select * from u""")
+def prior_user_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.prior_user_turn(_table(spark, sf_dir, "conversations"))
+
+
+@query("select conv_id, md5(string_agg(turn || ':' || role || ':' || coalesce(text, ''), '|' order by turn, role, text)) as digest, count(*) as n from conversations group by conv_id")
+def conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = context.conversation_history(_table(spark, sf_dir, "conversations"))
+    line = F.transform("messages", lambda m: F.concat(m["turn"].cast("string"), F.lit(":"), m["role"], F.lit(":"), F.coalesce(m["text"], F.lit(""))))
+    return h.select("conv_id", F.md5(F.array_join(line, "|")).alias("digest"), F.size("messages").cast("long").alias("n"))
+
+
+
+@query("""select event_id, user_id, round_even(sum(value) over (partition by user_id order by ts range between interval 24 hours preceding and current row), 6) as used_24h from events""")
+def quota_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its user's sum over the 24 hours up to it."""
+    out = governance.usage_last_day(_table(spark, sf_dir, "events"), "user_id", "ts", "value")
+    return out.select("event_id", "user_id", F.bround("used_24h", 6).alias("used_24h"))
+
+
+@query("""with u as (select user_id, sum(value) over (partition by user_id order by ts range between interval 24 hours preceding and current row) as used from events)
+select user_id, count(*) as n, round_even(max(used), 6) as most from u where used > 500 group by user_id""")
+def quota_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = governance.usage_last_day(_table(spark, sf_dir, "events"), "user_id", "ts", "value").filter("used_24h > 500")
+    return used.groupBy("user_id").agg(F.count("*").alias("n"), F.bround(F.max("used_24h"), 6).alias("most"))
+
+
+@query()
+def quota_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admission under a limit where rejected events don't count: recursive, so no SQL (tests hold it against a loop)."""
+    return governance.admit(_table(spark, sf_dir, "events"), 300.0, "user_id", "ts", "value")
+
+
+@query("""select count(*) as n, round_even(quantile_cont(value, 0.5), 6) as p50, round_even(max(case when r = least(floor(0.95 * c)::BIGINT + 1, c) then value end), 6) as p95, round_even(avg((event_type = 'error')::INTEGER), 6) as error_rate
+from (select value, event_type, row_number() over (order by value) as r, count(*) over () as c from events)""")
+def latency_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = evaluation.dashboard(_table(spark, sf_dir, "events"), "value", F.col("event_type") == "error")
+    return d.select("n", *[F.bround(c, 6).alias(c) for c in ("p50", "p95", "error_rate")])
+
+
+@query("""select event_type, sum((value <= 0.1)::INTEGER)::BIGINT as le_0_1, sum((value <= 0.5)::INTEGER)::BIGINT as le_0_5, sum((value <= 1)::INTEGER)::BIGINT as le_1_0, sum((value <= 2)::INTEGER)::BIGINT as le_2_0, sum((value <= 5)::INTEGER)::BIGINT as le_5_0, sum((value <= 10)::INTEGER)::BIGINT as le_10_0, sum((value <= 30)::INTEGER)::BIGINT as le_30_0, count(value) as n, round_even(sum(value), 3) as total from events group by event_type""")
+def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.latency_histogram(_table(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("total", F.bround("total", 3))
+
+
+@query("""select event_id, substr(sha256(user_id::VARCHAR), 1, 4) <> '' as hashed, ts::DATE as day, case when event_type = 'error' then 'error' else 'ok' end as status from events where ts::DATE < date '2024-04-15' - 90""")
+def retention_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows that are past their 90 days on a given date."""
+    rows = _table(spark, sf_dir, "events").select("event_id", ids.user_hash("salt", F.col("user_id").cast("string")).isNotNull().alias("hashed"), F.to_date("ts").alias("day"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"))
+    return state.expired(rows, "day", "2024-04-15")
+
+
+@query("""with e as (select event_id, user_id % 3 as tenant_id, user_id as user_id_hash from events) select tenant_id, count(*) as n from e where not (tenant_id = 1 and user_id_hash = 4) group by tenant_id""")
+def dsr_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One subject's events erased within one tenant."""
+    e = _table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 3).alias("tenant_id"), F.col("user_id").alias("user_id_hash"))
+    return state.erase_subject(e, 1, 4).groupBy("tenant_id").agg(F.count("*").alias("n"))
+
+
+@query("""with h(tenant_id, hook, wanted) as (values (0, 'a', ['click']), (0, 'b', []::VARCHAR[]), (1, 'c', ['error', 'view'])) select h.hook, e.event_type, count(*) as n from (select user_id % 3 as tenant_id, event_type from events) e join h using (tenant_id) where len(wanted) = 0 or list_contains(wanted, event_type) group by all""")
+def webhook_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hooks = spark.createDataFrame([(0, "a", ["click"], True), (0, "b", [], True), (1, "c", ["error", "view"], True), (1, "d", [], False)], "tenant_id long, hook string, events array<string>, active boolean")
+    e = _table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("tenant_id"), "event_type")
+    return governance.webhook_routes(e, hooks).groupBy("hook", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""with l as (select user_id, ts, event_type, row_number() over (partition by user_id order by ts, event_id) as r, lag(ts) over (partition by user_id order by ts, event_id) as p from events),
+g as (select user_id, sum((p is null or ts >= p + interval 30 minutes)::INTEGER) over (partition by user_id order by r) as s from l) select user_id, s as session_no, count(*) as n from g group by all""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of events less than 30 minutes apart (an extension: event-time windows)."""
+    from pyspark.sql import Window
+
+    out = _table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return out.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("w")).cast("long").alias("session_no"), "n")
+
+
+@query("""select p.project, p.metric, p.floor, m.value, case when m.value is null then 'missing' else 'below' end as issue from (values ('code-search', 'recall_at_10', 0.7), ('code-search', 'faithfulness', 0.8)) p(project, metric, floor)
+left join (select 'code-search' as project, 'recall_at_10' as metric, round_even(avg((event_type = 'error')::INTEGER), 6) as value from events) m using (project, metric) where m.value is null or m.value < p.floor""")
+def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    floors = spark.createDataFrame([(p, m, v) for p, ms in evaluation.THRESHOLDS.items() for m, v in ms.items()], "project string, metric string, floor double").filter("project = 'code-search'")
+    got = _table(spark, sf_dir, "events").agg(F.bround(F.avg((F.col("event_type") == "error").cast("int")), 6).alias("value")).select(F.lit("code-search").alias("project"), F.lit("recall_at_10").alias("metric"), "value")
+    return evaluation.gate(got, floors).select("project", "metric", "floor", "value", "issue")
+
+
+# ---------------------------------------------------------------- evaluation
+
+_REL = f"""{_VEC}, lab as (select vec_id as id, label from embeddings),
+s as (select a.query_id, b.id, {_COS} as score from q a, v b where b.id <> a.query_id),
+r as (select s.query_id, l.label as ql, s.id, row_number() over (partition by s.query_id order by score desc, s.id) as rank from s join lab l on l.id = s.query_id),
+h as (select r.query_id, r.ql, r.rank, (lb.label = r.ql)::INTEGER as hit from r join lab lb on lb.id = r.id where rank <= 10),
+n as (select l.id as query_id, count(*) - 1 as total from lab l join lab m on m.label = l.label where l.id % 20 = 0 group by l.id),
+m as (select h.query_id, any_value(ql) as label, sum(hit) / 10.0 as p10, case when any_value(total) > 0 then sum(hit) / any_value(total) else 0.0 end as r10, coalesce(max(case when hit = 1 then 1.0 / rank end), 0.0) as rr,
+  case when any_value(total) > 0 then sum(case when hit = 1 then 1.0 / log2(rank + 1) else 0.0 end) / list_sum(list_transform(generate_series(1, least(any_value(total), 10)), lambda i: 1.0 / log2(i + 1))) else 0.0 end as ndcg10 from h join n using (query_id) group by h.query_id)"""
+
+
+def _label_column(df: DataFrame, key: str, vec: str) -> str:
+    return next(c for c in df.columns if c not in (key, vec))
+
+
+def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, key, vec = _vectors(spark, sf_dir)
+    label = _label_column(df, key, vec)
+    labels = df.select(F.col(key).alias("id"), F.col(label).alias("label"))
+    top = retrieval.top_k(_cosine_queries(spark, sf_dir).filter("id <> query_id"), ["query_id"], "score", "id", 10)
+    retrieved = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("retrieved"))
+    asked = labels.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "label")
+    groups = asked.join(labels, "label").filter("id <> query_id").groupBy("query_id").agg(F.collect_list("id").alias("relevant"))
+    return retrieved.join(asked, "query_id").join(groups, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
+
+
+@query(f"with {_REL} select query_id, round_even(p10, 6) as precision_10, round_even(r10, 6) as recall_10, round_even(rr, 6) as rr, round_even(ndcg10, 6) as ndcg_10 from m")
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the ten nearest vectors, with those of the same label as relevant."""
+    out = evaluation.retrieval_metrics(_rankings(spark, sf_dir))
+    return out.select("query_id", *[F.bround(c, 6).alias(c) for c in ("precision_10", "recall_10", "rr", "ndcg_10")])
+
+
+@query(f"with {_REL} select label::VARCHAR as slice, count(*) as n, round_even(avg(p10), 4) as precision_10, round_even(avg(rr), 4) as rr from m group by grouping sets ((), (label))")
+def metrics_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.retrieval_metrics(_rankings(spark, sf_dir)).withColumn("slice", F.col("label").cast("string"))
+    return evaluation.by_slice(out, "slice", ["precision_10", "rr"])
+
+
+@query(f"""with {_REL}, b(metric, b) as (select 'precision', avg(p10) + 0.1 from m union all select 'mrr', avg(rr) from m union all select 'latency_ms', 5.0), a(metric, a) as (select 'precision', avg(p10) from m union all select 'mrr', avg(rr) from m union all select 'latency_ms', 9.0 union all select 'only_a', 1.0)
+select metric, round_even(a, 4) as a, round_even(b, 4) as b, case when b is null or a is null then null when metric = 'latency_ms' then 'b' when round_even(b - a, 9) > 0 then 'b' when round_even(b - a, 9) < 0 then 'a' else 'tie' end as winner from a full join b using (metric)""")
+def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluation.retrieval_metrics(_rankings(spark, sf_dir)).agg(F.avg("precision_10").alias("p"), F.avg("rr").alias("r"))
+    pairs = lambda *items: rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in items])).alias("x")).select("x.*")
+    a = pairs(("precision", F.col("p")), ("mrr", F.col("r")), ("latency_ms", F.lit(9.0)), ("only_a", F.lit(1.0)))
+    b = pairs(("precision", F.col("p") + 0.1), ("mrr", F.col("r")), ("latency_ms", F.lit(5.0)))
+    return evaluation.compare_runs(a, b).select("metric", F.bround("a", 4).alias("a"), F.bround("b", 4).alias("b"), "winner")
+
+
+@query(f"""with recursive {_VEC}, v20 as (select id, v from v where id % 20 = 0), s as (select a.id as src, b.id as dst, {_COS} as score from v20 a, v20 b where a.id <> b.id),
+e0 as (select src, dst from (select *, row_number() over (partition by src order by score desc, dst) as rank from s) where rank <= 2),
+e as (select src, dst from e0 union select dst, src from e0),
+w(start, node, depth) as (select id, id, 0 from v20 where id % 200 = 0 union select w.start, e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 3)
+select start, node, min(depth)::INTEGER as depth from w group by start, node""")
+def bfs_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes within three hops in the graph of two nearest neighbours among every twentieth vector."""
+    scored = _cosine_queries(spark, sf_dir).filter("id <> query_id and id % 20 = 0")
+    e0 = retrieval.top_k(scored, ["query_id"], "score", "id", 2).select(F.col("query_id").alias("src"), F.col("id").alias("dst")).persist()
+    edges = e0.union(e0.select("dst", "src")).distinct()
+    starts = scored.select(F.col("query_id").alias("node")).filter("node % 200 = 0").distinct()
+    return graph.within_hops(edges, starts, 3)
+
 
-def queries() -> dict:
-    return {}
+# ---------------------------------------------------------------- star schema
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("""select r_name, n_name, grouping(r_name)::INTEGER + grouping(n_name)::INTEGER as lvl, count(*) as n, round_even(sum(l_extendedprice * (1 - l_discount)), 2)::DOUBLE as revenue
+from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)""")
+def star_join_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue by region and nation with subtotals; lineitem reads four columns."""
+    t = lambda n: _table(spark, sf_dir, n)
+    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    out = joined.rollup("r_name", "n_name").agg((F.grouping("r_name").cast("int") + F.grouping("n_name").cast("int")).alias("lvl"), F.count("*").alias("n"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("s"))
+    return out.select("r_name", "n_name", "lvl", "n", F.bround(F.col("s"), 2).cast("double").alias("revenue"))
