@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ids, security, text
+from .functions import ids, python, security, text
 from .operators import chunking, cleaning, context, evaluation, governance, graph, retrieval, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,8 +179,8 @@ h as (select item_id, list_transform(sh, lambda x: ('0x' || substr(md5(x), 1, 15
 select item_id, m[1] as m0, m[2] as m1, m[3] as m2, m[4] as m3 from (select item_id, [{_MIN}] as m from h)""")
 def minhash_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four permutations of the portable signature of every benchmark item."""
-    sig = cleaning.portable_minhash(text.shingles(F.col("text")), 4)
-    return _table(spark, sf_dir, "benchmark").select("item_id", sig.alias("s")).select("item_id", *[F.get("s", F.lit(i)).alias(f"m{i}") for i in range(4)])
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", python.shingles(F.col("text")).alias("grams"))
+    return rows.select("item_id", cleaning.portable_minhash(F.col("grams"), 4).alias("s")).select("item_id", *[F.get("s", F.lit(i)).alias(f"m{i}") for i in range(4)])
 
 
 @query("""with a as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents),

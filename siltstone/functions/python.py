@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .security import PII_PATTERNS, SECRET_TYPES
 from .text import tidy
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
@@ -25,6 +26,28 @@ def normalize(text: Column) -> Column:
     return tidy(nfkc(text))
 
 
+def shingles(text: Column, k: int = 5) -> Column:
+    """Distinct k-word shingles of Latin text (lower case), or k-character ones where CJK letters prevail; in order.
+
+    In Python because the JVM's slice() copies the whole array for every shingle, which is quadratic in long texts."""
+
+    def one(t: str | None) -> list[str]:
+        t = t or ""
+        cjk, latin = len(_CJK.findall(t)), len(_LATIN.findall(t))
+        if cjk + latin >= 5 and cjk / (cjk + latin) > 0.1:
+            units, glue = list("".join(t.split())), ""
+        else:
+            units, glue = _LOWER_WORD.findall(t.lower()), " "
+        return list(dict.fromkeys(x for i in range(max(1, len(units) - k + 1)) if (x := glue.join(units[i : i + k]))))
+
+    @pandas_udf(ArrayType(StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return run(text)
+
+
+_CJK, _LATIN, _LOWER_WORD = re.compile("[一-鿿]"), re.compile("[A-Za-z]"), re.compile("[a-z0-9]+")
 _RULES = [(kind, re.compile(pattern)) for kind, pattern in PII_PATTERNS]
 LONG_NUMBERS = ("cn_mobile", "bank_card", "cn_id_card")
 
@@ -76,7 +99,7 @@ def redact(text: Column, how: str = "mask") -> Column:
     return run(text)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def redact_for_index(text: pd.Series) -> pd.Series:
     """Secrets dropped, then personal data masked."""
     return text.map(lambda t: redacted(redacted(t, "drop", SECRET_TYPES), "mask"), na_action="ignore")
@@ -86,12 +109,12 @@ def redact_for_trace(text: Column, max_len: int = 200) -> Column:
     return F.substring(redact(text, "hash"), 1, max_len)
 
 
-@pandas_udf("array<struct<start:int,end:int,type:string>>")
+@pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("type", StringType())])))
 def pii_spans(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": a, "end": b, "type": k} for a, b, k in find_pii(t)] if t is not None else None)
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two strings."""
 

@@ -179,17 +179,3 @@ def fixed_windows(text: Column, size: int = 200, overlap: int = 30) -> Column:
     """Character windows of a fixed size that overlap."""
     starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)), F.lit(size - overlap))
     return F.filter(F.transform(starts, lambda s: F.substr(text, s, F.lit(size))), lambda w: F.char_length(w) > 0)
-
-
-def shingles(text: Column, k: int = 5) -> Column:
-    """Distinct k-word shingles of Latin text (lower case), or k-character ones of CJK text."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    chars = F.regexp_replace(text, rf"{WHITE}+", "")
-
-    def cut(n: Column, make) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), make)
-
-    latin = cut(F.size(words), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
-    wide = cut(F.char_length(chars), lambda i: F.substr(chars, i, F.lit(k)))
-    lang = detect_language(text)
-    return F.array_distinct(F.filter(F.when(lang.isin("zh", "mixed"), wide).otherwise(latin), lambda s: F.char_length(s) > 0))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import md5_int60
-from ..functions.text import lines, shingles, stripped
+from ..functions.python import shingles
+from ..functions.text import lines, stripped
 from ..functions.vectors import signature_similarity
 
 PERMUTATIONS, BANDS = 64, 16
@@ -59,9 +60,10 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, threshold:
     Equal texts are folded to their first document before the bands are joined, so a group of copies makes one
     bucket entry; copies of it come back as pairs with that first document.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"), shingles(F.coalesce(F.col(text_col), F.lit("")), k).alias("grams"))
-    first = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("grams").alias("grams"))
-    signed = first.select("id", minhash(F.col("grams"), permutations, hash_with).alias("sig"))
+    rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"), F.col(text_col).alias("t"))
+    first = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("t").alias("t"))
+    signed = first.select("id", shingles(F.col("t"), k).alias("grams")).select("id", minhash(F.col("grams"), permutations, hash_with).alias("sig"))
+    rows = rows.drop("t")
     width = permutations // bands
     banded = signed.select("id", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * width + 1, F.lit(width))))).alias("band", "bucket"))
     a = banded.select(F.col("id").alias("later"), F.col("sig").alias("sig_a"), "band", "bucket")
