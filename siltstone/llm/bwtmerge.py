@@ -1,11 +1,10 @@
 """Exact substring deduplication on bytes by merging shard Burrows-Wheeler transforms.
 
 Shards of suffixes, each sorted on its own, are merged by refining their
-interleave: knowing the order by the first h symbols, one stable distribution of
-the shards' transforms by symbol gives the order by h + 1.  Boundaries between
-groups are carried along, so after `width` rounds each group is an interval of
-suffixes with a common prefix of `width` bytes; an interval of two or more rows is a
-repeat.  The suffixes of the union are never sorted again.
+interleave: knowing the order by the first h bytes, one stable distribution of
+the shards' transforms by symbol gives the order by more.  Boundaries between
+groups are carried along, so in the end each group is an interval of suffixes with a
+common prefix of `width` bytes; an interval of two or more rows is a repeat.  The suffixes of the union are never sorted again.
 
 Which suffixes are merged together.  Every `width`-byte window has an anchor: the
 leftmost place of the least hash among its `gram`-byte substrings.  Equal windows
@@ -68,7 +67,8 @@ def _runs(data, offsets, h, width, gram):
     new[1:] = place[1:] != place[:-1]
     first = np.flatnonzero(new)
     begin, stop = at[first], at[np.r_[first[1:], len(at)] - 1]
-    return begin, stop, grams[place[first]], _content(h, begin, stop + width)
+    # mixed anew, since least hashes are all small and would share few parts
+    return begin, stop, tk.mix(grams[place[first]]), _content(h, begin, stop + width)
 
 
 def _content(h, begin, end):
@@ -184,7 +184,11 @@ def _send(parts, width, gram):
 
 
 class Shard:
-    """Distinct strings, each ended by _END, with the order of their suffixes and the transform of that order."""
+    """Distinct strings, each ended by _END, with the order of their suffixes and its transforms.
+
+    symbols, back: for each row, the two bytes before its suffix and the row of the suffix that starts
+    there; symbol, step: the same for one byte.
+    """
 
     def __init__(self, text: np.ndarray, depth: int):
         n = len(text)
@@ -192,26 +196,42 @@ class Shard:
         while len(around) < n + depth:
             around = np.concatenate([around, text])
         raw = around.tobytes()
-        self.order = np.array(sorted(range(n), key=lambda i: raw[i : i + depth]), dtype=np.int64)
-        self.transform = text[self.order - 1]
-
-
-def merge_transforms(shards: list[Shard], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every row of the merged order: its shard (rows of a shard keep their order), and its interval of common width-byte prefix."""
-    sizes = [len(s.order) for s in shards]
-    transforms = np.concatenate([s.transform for s in shards])
-    inter = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
-    group = np.zeros(len(inter), np.int32)
-    symbols = np.empty(len(inter), np.uint8)
-    for _ in range(width):
-        symbols[np.argsort(inter, kind="stable")] = transforms
-        order = np.argsort(symbols, kind="stable")
-        inter, source, symbol = inter[order], group[order], symbols[order]
+        self.order = np.array(sorted(range(n), key=lambda i: raw[i : i + depth]), dtype=np.int32)
+        rank = np.empty(n, np.int32)
+        rank[self.order] = np.arange(n, dtype=np.int32)
+        self.symbol = text[self.order - 1]
+        self.symbols = text[self.order - 2].astype(np.uint16) << np.uint16(8) | self.symbol
+        self.step, self.back = rank[self.order - 1], rank[self.order - 2]
+
+
+def merge_transforms(shards: list[Shard], width: int) -> np.ndarray:
+    """For every row of the shards, end to end, whether its suffix shares its first width bytes with another.
+
+    rows is the interleave, known by the first h bytes; distributing it by the two bytes before each
+    suffix gives the interleave of the suffixes that start there, by h + 2 bytes.  A suffix that is
+    alone in its interval stays alone as it grows to the left, so its row is settled and leaves.
+    """
+    base = np.r_[0, np.cumsum([len(s.order) for s in shards])].astype(np.int32)
+    rows = np.arange(base[-1], dtype=np.int32)
+    group = np.zeros(len(rows), np.int32)
+    two = (np.concatenate([s.symbols for s in shards]), np.concatenate([s.back + b for s, b in zip(shards, base, strict=False)]))
+    one = (np.concatenate([s.symbol for s in shards]), np.concatenate([s.step + b for s, b in zip(shards, base, strict=False)]))
+    for symbols, back in [one] * (width % 2) + [two] * (width // 2):
+        symbol = symbols[rows]
+        order = np.argsort(symbol, kind="stable")
+        source, symbol = group[order], symbol[order]
         edge = np.ones(len(order), bool)
         edge[1:] = (source[1:] != source[:-1]) | (symbol[1:] != symbol[:-1])
-        edge |= symbol == _END
-        group = np.cumsum(edge, dtype=np.int32)
-    return inter, group
+        edge |= (symbol & 0xFF) == _END
+        if symbol.dtype != np.uint8:
+            edge |= symbol >> 8 == _END
+        alone = edge.copy()
+        alone[:-1] &= edge[1:]
+        order, group = order[~alone], np.cumsum(edge, dtype=np.int32)[~alone]
+        rows = back[rows[order]]
+    again = np.zeros(base[-1], bool)
+    again[rows] = True
+    return again
 
 
 def repeated_windows(strings: list[np.ndarray], width: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -228,9 +248,7 @@ def repeated_windows(strings: list[np.ndarray], width: int, shard_bytes: int = S
         packs.append(now)
     end = np.array([_END], np.uint8)
     shards = [Shard(np.concatenate([x for i in p for x in (strings[i], end)]), width + 8) for p in packs]
-    inter, group = merge_transforms(shards, width)
-    again = np.bincount(group)[group] > 1
-    by_shard = again[np.argsort(inter, kind="stable")]
+    by_shard = merge_transforms(shards, width)
     out: list = [None] * len(strings)
     at = 0
     for p, shard in zip(packs, shards, strict=True):
@@ -337,7 +355,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     asked = texts.groupBy("block").applyInArrow(_ask(n, width, gram), MESSAGE)
     told = asked.groupBy("part").applyInArrow(_answer, MESSAGE)
     sent = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(n, width, gram), MESSAGE)
-    marks = sent.groupBy("part").applyInArrow(_merge(width), MESSAGE)
+    marks = sent.repartition(n, "part").groupBy("part").applyInArrow(_merge(width), MESSAGE)
     last = StructField("kept", BinaryType()) if output == "bytes" else StructField("kept_sha256", StringType())
     inner = StructType([StructField("doc_id", LongType()), *(StructField(f"c{i}", texts.schema[f"c{i}"].dataType) for i in range(len(carry))), *(StructField(x, LongType()) for x in ("n_bytes", "n_removed", "n_spans")), last])
     done = texts.groupBy("block").cogroup(told.unionByName(marks).groupBy("block")).applyInArrow(_finish(width, gram, output, len(carry), to_arrow_schema(inner)), inner)
