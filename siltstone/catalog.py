@@ -399,6 +399,19 @@ def next_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.next_cursor(_table(spark, sf_dir, "documents").withColumn("w", F.lpad(F.col("doc_id").cast("string"), 12, "0")), "source", "w")
 
 
+@query()
+def ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first ingestion run over all documents: change detection, cleaning, near-duplicates, redaction, chunks, embeddings
+    (rows only: Python folds and embeddings have no SQL; tests hold the job against planted documents)."""
+    from .plans import jobs
+
+    listed = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.md5("text").alias("change_key"), "text", F.lit("internal").alias("sensitivity"))
+    manifest = spark.createDataFrame([], "source_id string, change_key string, last_seen_run string, chunk_count long, tenant_id string")
+    index = spark.createDataFrame([], "chunk_id string, source_id string, text string, sensitivity string, tenant_id string, embedding array<float>")
+    done = jobs.ingest(listed, manifest, index, "acme", "run-1")
+    return done.index.groupBy("source_id").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"), F.max(F.size("embedding")).alias("dim"))
+
+
 # ---------------------------------------------------------------- events, conversations
 
 
