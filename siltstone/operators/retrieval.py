@@ -16,6 +16,8 @@ from ..functions.vectors import cosine, norm
 
 K1, B = 1.5, 0.75
 OKAPI_EPSILON = 0.25
+#: Bytes of query vectors that are broadcast at once.
+QUERY_BLOCK_BYTES = 32 << 20
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,10 +64,18 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tex
 def cosine_scores(vectors: DataFrame, queries: DataFrame, where: Column | None = None) -> DataFrame:
     """(query_id, id, score) of every vector for every query; tables have id, v and query_id, q.
 
-    The queries are a stated set that is compared with all rows; they are few against the corpus.
+    The queries are a stated set that is compared with all rows.  They are sent out in blocks of at most
+    QUERY_BLOCK_BYTES, measured first, so no broadcast grows with the data.
     """
     rows = vectors.filter(where) if where is not None else vectors
-    return rows.crossJoin(F.broadcast(queries)).select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"))
+    size = queries.agg(F.coalesce(F.sum(8 * F.size("q") + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // QUERY_BLOCK_BYTES))
+    out = None
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        part = rows.crossJoin(F.broadcast(own)).select("query_id", "id", cosine(F.col("v"), F.col("q")).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
