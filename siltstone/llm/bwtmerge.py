@@ -33,6 +33,8 @@ WIDTH, GRAM = 200, 32
 LONG_PREFIX_AT = 20_000
 #: Bytes of one shard, and shards merged at once.
 SHARD_BYTES, SHARDS = 1 << 18, 255
+#: Bytes by which a shard's suffixes are sorted.
+ORDER = 8
 #: Never part of UTF-8, so it can end the strings of a shard.
 _END = 0xFF
 _AT_BITS = 22
@@ -41,7 +43,7 @@ PARTS_PER_BLOCK = 4
 
 
 def _pieces(table):
-    for rows, data, offsets in tk.text_pieces(table.select(["doc_id", "text"]).combine_chunks().to_batches(), piece_bytes=1 << 19):
+    for rows, data, offsets in tk.text_pieces(table.select(["doc_id", "text"]).combine_chunks().to_batches(), piece_bytes=1 << 16):
         yield rows, data, offsets, tk._BYTE_VALUES[data]
 
 
@@ -186,17 +188,20 @@ def _send(parts, width, gram):
 class Shard:
     """Distinct strings, each ended by _END, with the order of their suffixes and its transforms.
 
+    The order is by the first ORDER bytes, then by place: the Burrows-Wheeler transform of bounded order
+    (Schindler's).  Refining the interleave sorts by more, so a longer order in the shards would not be used.
+
     symbols, back: for each row, the two bytes before its suffix and the row of the suffix that starts
     there; symbol, step: the same for one byte.
     """
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray):
         n = len(text)
-        around = np.concatenate([text, text[: min(n, depth)]])
-        while len(around) < n + depth:
-            around = np.concatenate([around, text])
-        raw = around.tobytes()
-        self.order = np.array(sorted(range(n), key=lambda i: raw[i : i + depth]), dtype=np.int32)
+        key = np.zeros(n, np.uint64)
+        around = np.resize(text, n + ORDER)
+        for i in range(ORDER):
+            key = key << np.uint64(8) | around[i : i + n]
+        self.order = np.argsort(key, kind="stable").astype(np.int32)
         rank = np.empty(n, np.int32)
         rank[self.order] = np.arange(n, dtype=np.int32)
         self.symbol = text[self.order - 1]
@@ -247,7 +252,7 @@ def repeated_windows(strings: list[np.ndarray], width: int, shard_bytes: int = S
     if now:
         packs.append(now)
     end = np.array([_END], np.uint8)
-    shards = [Shard(np.concatenate([x for i in p for x in (strings[i], end)]), width + 8) for p in packs]
+    shards = [Shard(np.concatenate([x for i in p for x in (strings[i], end)])) for p in packs]
     by_shard = merge_transforms(shards, width)
     out: list = [None] * len(strings)
     at = 0
