@@ -48,7 +48,7 @@ class Tokens:
 
     def __init__(self, table: pa.Table):
         found, rows, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-        for _, data, offsets in tk.text_pieces(table.select(["text"]).combine_chunks().to_batches(), piece_bytes=2 << 20):
+        for _, data, offsets in tk.text_pieces(table.select(["text"]).combine_chunks().to_batches(), piece_bytes=1 << 17):
             data = tk.lower_ascii(data)
             starts, ends, bounds = tk.word_spans(data, offsets)
             row, n = tk.rows_of(bounds), len(offsets) - 1

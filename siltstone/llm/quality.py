@@ -116,7 +116,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _measured(batches):
-    for rows, data, offsets in tk.text_pieces(batches, piece_bytes=2 << 20):
+    for rows, data, offsets in tk.text_pieces(batches, piece_bytes=1 << 17):
         found = measure(data, offsets)
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], ["doc_id", *MEASURES])
 

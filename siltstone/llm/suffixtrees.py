@@ -40,7 +40,7 @@ _NO_ID = np.iinfo(np.int64).max
 
 
 def _pieces(table: pa.Table):
-    for rows, data, offsets in tk.text_pieces(table.select(["doc_id", "text"]).combine_chunks().to_batches(), piece_bytes=2 << 20):
+    for rows, data, offsets in tk.text_pieces(table.select(["doc_id", "text"]).combine_chunks().to_batches(), piece_bytes=1 << 17):
         ids = rows.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
         starts, ends, bounds = tk.word_spans(data, offsets)
         yield rows, data, offsets, ids, starts, ends, bounds, tk.span_hashes(data, starts, ends)

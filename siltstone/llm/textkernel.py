@@ -20,8 +20,8 @@ _M64 = (1 << 64) - 1
 #: Multipliers of the polynomial hashes; each is 3 modulo 8, so odd powers stay well mixed.
 BYTE_BASE = 0x9E3779B97F4A7C1B
 WORD_BASE = 0xC2B2AE3D27D4EB53
-#: Rows are handed to the kernels in pieces of about so many bytes.
-PIECE_BYTES = 2 << 20
+#: Rows are handed to the kernels in pieces of about so many bytes: small enough for the arrays of a piece to stay in cache.
+PIECE_BYTES = 1 << 17
 #: Spans are hashed in pieces of about so many bytes.
 HASH_BYTES = 1 << 20
 
