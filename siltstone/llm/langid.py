@@ -7,20 +7,22 @@ one-versus-rest kernel ridge regression on those gives a score for each language
 Scoring is a map: the presence rows of a batch of texts times the landmarks'
 presence matrix, normalised, times the ridge coefficients.
 
-Fitting takes a bounded sample of labelled rows, at most SAMPLE_PER_CLASS for each
-of at most CLASSES languages, each a whole text of at most SAMPLE_TEXT characters.
-The sample is drawn by the texts' hashes, so it is the same however rows are laid out.
+Fitting takes a bounded sample of the distinct labelled texts: of every language those with the
+least hashes, SAMPLE_PER_CLASS at most, fewer for each where there are more than CLASSES languages.
+Texts are whole; those of more than SAMPLE_TEXT characters come after all others of their language,
+as far as SAMPLE_PER_CLASS * SAMPLE_TEXT characters go.  No language is left without a text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_CLASS, SAMPLE_TEXT, CLASSES = 300, 20_000, 64
 LANDMARKS_PER_CLASS = 16
+SALTS = 32
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -136,23 +138,24 @@ class KernelModel:
 
 
 def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_class: int = SAMPLE_PER_CLASS) -> KernelModel:
-    """A model from a bounded sample of the labelled rows; rows without a language or a letter are passed over."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null").filter((F.char_length("text") <= SAMPLE_TEXT) & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES).collect()}
-    if not counts:
+    """A model of every labelled language, from a bounded sample of distinct texts; rows without a language or a letter are passed over."""
+    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    distinct = rows.groupBy("lang", "h").agg(F.max(F.char_length("text")).alias("n"))
+    first = [F.col("n") > SAMPLE_TEXT, F.col("h")]
+    # the first of each salt, then the first of all, so that a frequent language is no burden to one task
+    of_salt = distinct.withColumn("at", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy(*first))).filter(F.col("at") <= per_class)
+    own = Window.partitionBy("lang").orderBy(*first)
+    order = of_salt.withColumns({"at": F.row_number().over(own), "chars": F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0))}).filter((F.col("at") <= per_class) & ((F.col("at") == 1) | (F.col("chars") <= per_class * SAMPLE_TEXT)))
+    keys = order.select("lang", "h", "at").collect()  # per_class for each language at most
+    classes = len({r["lang"] for r in keys})
+    if not classes:
         return KernelModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0), np.float32))
-    hashed = F.xxhash64("text")
-    share: Column = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 1.6 * per_class / n + 20.0 / n)).otherwise(share)
-    drawn = rows.withColumn("h", hashed).filter((F.col("h").cast("double") + 2.0**63) < share * 2.0**64)
-    taken: dict[str, list] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["text"])):  # about 1.6 * per_class for each language
-        own = taken.setdefault(r["lang"], [])
-        if len(own) < per_class and (not own or own[-1] != r["text"]):
-            own.append(r["text"])
-    texts = [t for own in taken.values() for t in own]
-    return KernelModel.fit(texts, [k for k, own in taken.items() for _ in own])
+    most, landmarks = (max(1, min(each, CLASSES * each // classes)) for each in (per_class, LANDMARKS_PER_CLASS))
+    wanted = labelled.sparkSession.createDataFrame([(r["lang"], r["h"], r["at"]) for r in keys if r["at"] <= most], "lang string, h long, at int")
+    drawn = rows.join(F.broadcast(wanted), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
+    drawn.sort(key=lambda r: (r["lang"], r["at"]))
+    return KernelModel.fit([r["text"] for r in drawn], [r["lang"] for r in drawn], landmarks)
 
 
 def predict_languages(docs: DataFrame, model: KernelModel, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -5,8 +5,9 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from siltstone.llm import nearcopies
+from siltstone.llm import langid, nearcopies
 
 
 def shingles(text, width=5):
@@ -83,3 +84,19 @@ def test_bands_reach_similarity_point_eight():
         bands = nearcopies.band_hashes(np.r_[a, b], np.array([0, 90, 180]))
         missed += not (bands[0] == bands[1]).any()
     assert missed == 0
+
+
+def test_op5_learns_every_language(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    data = []
+    for k in range(70):  # more languages than CLASSES
+        own = [a + b + c for a, b, c in zip(rng.sample(letters, 12), rng.sample(letters, 12), rng.sample(letters, 12), strict=True)]
+        data += [(f"l{k:02}", " ".join(rng.choice(own) for _ in range(40))) for _ in range(5)]
+    data += [("long", " ".join(rng.choice(["ñaña", "ßeß", "éçé"]) for _ in range(6000))) for _ in range(3)]  # all over 20,000 characters
+    rows = spark.createDataFrame(data, "lang string, text string")
+    copies = spark.range(0, 200_000, 1, 4).select(F.concat(F.lit("copies"), F.col("id") % 5).alias("lang"), F.concat(F.lit("zq xj "), F.repeat(F.lit("wv "), (F.col("id") % 10 + 1).cast("int")), F.lit("kk")).alias("text"))
+    model = langid.fit_languages(rows.unionByName(copies))
+    assert model.classes == sorted({lang for lang, _ in data} | {f"copies{k}" for k in range(5)})
+    found = model.predict([t for _, t in data])[0]
+    assert sum(a == b for a, (b, _) in zip(found, data, strict=True)) >= 0.95 * len(data) and found[-1] == "long"
