@@ -23,10 +23,10 @@ from .domtree import Shapes, align_slots, pieces, read_tree
 from .shared import written
 
 #: A text is template if it is in the slot on this share of at least so many distinct pages of the host.
-TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 10
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 3
 #: Wrappers and templates are broadcast up to this many bytes in all.
 BROADCAST_BYTES = 32 << 20
-#: Pages longer than this are not chosen as a wrapper (all are aligned and extracted).
+#: Pages longer than this are chosen as a wrapper only where a host has no other, the shortest of them (all are aligned and extracted).
 WRAPPER_CHARS = 50_000
 SALTS = 32
 
@@ -110,15 +110,16 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    usable = rows.filter(F.length("html").between(1, WRAPPER_CHARS))
-    wrappers = written(usable.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("wrapper")), "wrappers")
+    usable = rows.filter(F.length("html") > 0)
+    beyond = F.greatest(F.length("html") - WRAPPER_CHARS, F.lit(0))
+    wrappers = written(usable.groupBy("host").agg(F.min_by("html", F.struct(beyond, F.xxhash64("html"), "html")).alias("wrapper")), "wrappers")
     size = int(wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64), F.lit(0))).first()[0])
     counted = _with_host(rows.select("html", "host"), wrappers, size).select("host", "html", "wrapper").mapInArrow(_marks, "host string, sign long, marks array<long>").dropDuplicates(["host", "sign"])
     counted = written(counted, "marks")
     distinct = counted.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
     seen = counted.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("seen")).filter(F.col("seen") >= TEMPLATE_SHARE * TEMPLATE_PAGES)
     template = seen.join(distinct, "host").filter(F.col("seen") >= TEMPLATE_SHARE * F.col("n")).groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("template"))
-    known = written(wrappers.join(template, "host", "left"), "templates")
-    size = int(known.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64 + 8 * F.coalesce(F.size("template"), F.lit(0))), F.lit(0))).first()[0])
+    known = written(wrappers.join(template, "host", "full"), "templates")
+    size = int(known.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("wrapper"), F.lit(0)) + F.octet_length("host") + 64 + 8 * F.coalesce(F.size("template"), F.lit(0))), F.lit(0))).first()[0])
     id_type = rows.schema["page_id"].dataType.simpleString()
     return _with_host(rows, known, size).select("page_id", "url", "html", "wrapper", "template").mapInArrow(_texts, f"page_id {id_type}, url string, text string, n_chars long")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import langid, nearcopies
+from siltstone.llm import decontaminate, htmlextract, langid, nearcopies
 
 
 def shingles(text, width=5):
@@ -100,3 +100,11 @@ def test_op5_learns_every_language(spark):
     assert model.classes == sorted({lang for lang, _ in data} | {f"copies{k}" for k in range(5)})
     found = model.predict([t for _, t in data])[0]
     assert sum(a == b for a, (b, _) in zip(found, data, strict=True)) >= 0.95 * len(data) and found[-1] == "long"
+
+
+@pytest.mark.parametrize("pages, padding", [(3, 0), (4, 60_000), (12, 60_000)])
+def test_op2_template_of_small_hosts_and_long_pages(spark, pages, padding):
+    page = lambda i: f"<body><p>Welcome to our site</p><p>News {i} of the day</p><script>{'x' * padding}</script><p>All rights belong to us</p></body>"
+    data = [(i, "http://h.example/", page(i)) for i in range(pages)] + [(99, "http://one.example/", page(99))]
+    got = {r["page_id"]: r["text"] for r in htmlextract.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(pages)} == {i: f"News {i} of the day" for i in range(pages)} and "News 99 of the day" in got[99]
