@@ -108,3 +108,31 @@ def test_op2_template_of_small_hosts_and_long_pages(spark, pages, padding):
     data = [(i, "http://h.example/", page(i)) for i in range(pages)] + [(99, "http://one.example/", page(99))]
     got = {r["page_id"]: r["text"] for r in htmlextract.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
     assert {i: got[i] for i in range(pages)} == {i: f"News {i} of the day" for i in range(pages)} and "News 99 of the day" in got[99]
+
+
+def test_op3_items_side_by_side(spark):
+    rng = random.Random(21)
+    common = ["the", "of", "and", "to", "in"]
+    vocabulary = [f"w{i}x" for i in range(3000)]
+    sentence = lambda k: [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(k)]
+    items = [sentence(n) for n in (8, 9, 10, 12, 14, 16, 20, 26, 27, 40, 52, 60) for _ in range(8)]
+    other = lambda w: [rng.choice(vocabulary) if j % 3 == 1 and j < len(w) - 5 else x for j, x in enumerate(w)]
+    texts = []
+    for i in range(120):  # dumps: verbatim items in a row, or paraphrases with their answers between two of them
+        some = rng.sample(range(len(items)), 5)
+        texts.append(sum([other(items[k]) if i % 3 == 0 and n % 2 else items[k] for n, k in enumerate(some)], sentence(10 if i % 2 else 0)))
+    texts += [sentence(200) for _ in range(40)]
+    # brute force: all windows of the items' lengths and a quarter more
+    want = set()
+    for i, w in enumerate(texts):
+        for k, item in enumerate(items):
+            if len(set(item) & set(w)) >= decontaminate.PARAPHRASE * len(set(item)):
+                n = len(item) + len(item) // 4
+                if any(decontaminate.check_words(item, w[a : a + n])[2] for a in range(max(1, len(w) - n + 1))):
+                    want.add((i, k))
+    assert len(want) >= 560
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    # an unrelated text may have an item's frequent words in order by chance; all planted items must be found
+    assert {x for x in want if x[0] < 120} <= got and len(want - got) <= 1 and len(got - want) <= 5
