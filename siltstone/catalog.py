@@ -562,6 +562,15 @@ def bfs_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.within_hops(edges, starts, 3)
 
 
+@query()
+def bfs_neighbourhood_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes within three hops of every twentieth vector, in the graph of their two nearest neighbours among all vectors."""
+    scored = _cosine_queries(spark, sf_dir).filter("id <> query_id")
+    e0 = retrieval.top_k(scored, ["query_id"], "score", "id", 2).select(F.col("query_id").alias("src"), F.col("id").alias("dst")).persist()
+    edges = e0.union(e0.select("dst", "src")).distinct()
+    return graph.within_hops(edges, e0.select(F.col("src").alias("node")).distinct(), 3)
+
+
 # ---------------------------------------------------------------- star schema
 
 
