@@ -1,18 +1,17 @@
-"""Substring deduplication with prefix-partitioned suffix trees.
-
-The suffixes of all documents, at word positions, are grouped by a prefix, each
-group's suffix tree is built in memory, and its internal nodes of `width` words
-or more are the repeats: leaves below such a node carry the same `width`-word
-window, and the least document among them keeps it.
-
-Which prefix groups a suffix.  A window's anchor is the least hash among its
-`gram`-word substrings, so windows of equal words have equal anchors; suffixes
-are grouped by their anchor, a short prefix of the text from there.  Anchors
-that occur once in the corpus are dropped first, since no window around them
-can repeat; this moves a few bytes for each distinct anchor.  Where an anchor
-is so frequent that its group would outgrow memory, the prefix is lengthened to
-the whole window.  Equal runs of one block are folded to their least document before
-they move, so a passage in a third of all documents costs one row a block.
+"""Substring deduplication with windows named by prefix doubling within minimiser groups.
+
+No suffix tree is built: only its nodes at a depth of `width` words would be wanted, and
+those are the equal windows of `width` words.  Windows are grouped, each group's windows are
+named by prefix doubling (equal names, equal words), and of the documents that have a window
+the least keeps it.
+
+What groups a window.  Its anchor is the least hash among its `gram`-word substrings (a
+minimiser, which may lie anywhere in the window), so windows of equal words have equal
+anchors.  Anchors that occur once in the corpus are dropped first, since no window around them
+can repeat; this moves a few bytes for each distinct anchor.  Where an anchor is so frequent
+that its group would outgrow memory, windows are grouped by a hash of the whole window.
+Equal runs of one block are folded to their least document before they move, so a passage in
+a third of all documents costs one row a block.
 
 Nothing is sampled or capped, and windows never cross documents.
 """
