@@ -1,10 +1,13 @@
 """Main-text extraction by wrapper induction.
 
-For each host one page's tree is the wrapper.  Every page of the host is aligned to it
-by simple tree matching, and the texts found in each slot are counted over the host's
-distinct pages: a text that stays the same in a slot on nearly all of them is template,
-slots that vary hold content.  Slots whose element or name says that they surround an
-article (menus, footers, adverts, forms, comments ...) are no content either.
+For each host some pages' trees are aligned by simple tree matching and merged into one: the
+wrapper.  Every page of the host is then aligned to it, and over all its distinct pages is counted
+what stands in each slot.  A text that stays the same in a slot on nearly all of them is template.
+Of the text that varies, the article is where most of it is: from the top of the wrapper, always on
+to the slot with most of it.  Slots beside that one are no content, whatever they are called.
+
+Elements whose meaning is clear (nav, footer, aside, form, roles) never are content.  Names of classes
+are looked at only outside articles, and decide little: what they mark mostly lies beside the article's slot.
 
 Pages are not gathered by host.  They meet their host's wrapper through a broadcast
 if all wrappers together are proven small, else through a salted join; the counts are
@@ -19,37 +22,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .domtree import Shapes, align_slots, pieces, read_tree
+from .domtree import Shapes, blocks_of, dumped, loaded, merged, place_slots, read_tree, region
 from .shared import written
 
+#: Pages of a host that are merged into its wrapper, at most; the counts are over all its pages.
+WRAPPER_PAGES = 8
 #: A text is template if it is in the slot on this share of at least so many distinct pages of the host.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 3
 #: Wrappers and templates are broadcast up to this many bytes in all.
 BROADCAST_BYTES = 32 << 20
-#: Pages longer than this are chosen as a wrapper only where a host has no other, the shortest of them (all are aligned and extracted).
+#: Longer pages become part of a wrapper only where there are no others (all are aligned and extracted).
 WRAPPER_CHARS = 50_000
 SALTS = 32
 
 
 class _Aligner:
-    """Shapes and the wrappers' trees, kept for some thousands of hosts by a worker."""
+    """Shapes, and what is known of some thousands of hosts, kept by a worker."""
 
     def __init__(self) -> None:
-        self.shapes, self.wrappers = Shapes(), {}
+        self.shapes, self.wrappers, self.regions = Shapes(), {}, {}
 
-    def blocks(self, page: str | None, wrapper: str | None) -> list[tuple[str, bool, str]]:
-        """(slot, in_article, text) of a page's blocks."""
-        if len(self.wrappers) > 5_000 or len(self.shapes.parts) > 200_000:
+    def tidied(self) -> None:
+        if len(self.wrappers) > 5_000 or len(self.regions) > 5_000 or len(self.shapes.parts) > 200_000 or len(self.shapes.scores) > 2_000_000:
             self.__init__()
+
+    def wrapper(self, text: str) -> int:
+        if text not in self.wrappers:
+            self.wrappers[text] = self.shapes.of(loaded(text))
+        return self.wrappers[text]
+
+    def blocks(self, page: str | None, wrapper: str | None):
+        """(slot, text, characters of links) of a page's blocks, with slots of the wrapper, or of the page itself if there is none."""
         tree = read_tree(page or "")
-        slots = None
-        if wrapper:
-            key = hashlib.md5(wrapper.encode("utf-8", "surrogatepass")).digest()
-            if key not in self.wrappers:
-                self.wrappers[key] = self.shapes.of(read_tree(wrapper))
-            self.shapes.of(tree)
-            slots = align_slots(self.shapes, self.wrappers[key], tree)
-        return [("/".join(map(str, s)), a, t) for s, a, t in pieces(tree, slots=slots)]
+        shape = self.shapes.of(tree)
+        place_slots(self.shapes, self.wrapper(wrapper) if wrapper else shape, tree)
+        return shape, [(node.slot, text, links) for node, text, links in blocks_of(tree)]
+
+    def article(self, page: str | None, wrapper: str | None, masses, template: set[int]) -> str:
+        """The article's blocks of one page; where the host's region is empty on it, by the page's own region."""
+        self.tidied()
+        shape, found = self.blocks(page, wrapper)
+        kept = [x for x in found if not template or _mark(x[0], x[1]) not in template]
+        if wrapper and masses:
+            key = (wrapper, tuple(masses))
+            if key not in self.regions:
+                self.regions[key] = region(self.shapes, self.wrapper(wrapper), {s: (c, k) for s, c, k in masses})
+            if lines := _within(kept, *self.regions[key]):
+                return "\n".join(lines)
+            template_texts = {x[1] for x in found} - {x[1] for x in kept}
+            kept = [x for x in self.blocks(page, None)[1] if x[1] not in template_texts]
+        own: dict[str, tuple[int, int]] = {}
+        for slot, text, links in kept:
+            chars, linked = own.get(slot, (0, 0))
+            own[slot] = (chars + len(text), linked + links)
+        return "\n".join(_within(kept, *region(self.shapes, shape, own)))
+
+
+def _within(blocks, slot: str, heads: tuple[str, ...]) -> list[str]:
+    """Texts of the blocks in a slot or below it, and of the headings that go with it."""
+    below = slot + "/"
+    return [text for own, text, _ in blocks if own == slot or own.startswith(below) or own in heads]
 
 
 _aligners: list[_Aligner] = []
@@ -65,12 +97,17 @@ def _mark(slot: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{slot}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def main_text(blocks: list[tuple[str, bool, str]], template: set[int]) -> str:
-    """The article's blocks, or, where no element says what the article is, all blocks that vary."""
-    kept = [(a, t) for s, a, t in blocks if not template or _mark(s, t) not in template]
-    if any(a for a, _ in kept):
-        kept = [x for x in kept if x[0]]
-    return "\n".join(t for _, t in kept)
+def _wrap(batches):
+    aligner = _aligner()
+    for batch in batches:
+        out = []
+        for pages in batch.column("samples").to_pylist():
+            aligner.tidied()
+            out.append(dumped(merged(aligner.shapes, [read_tree(p) for p in pages])))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], ["host", "wrapper"])
+
+
+_MARKS = pa.list_(pa.struct([("mark", pa.int64()), ("slot", pa.string()), ("chars", pa.int64()), ("links", pa.int64())]))
 
 
 def _marks(batches):
@@ -78,17 +115,24 @@ def _marks(batches):
     for batch in batches:
         signs, marks = [], []
         for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-            found = aligner.blocks(page, wrapper)
-            own = sorted({_mark(s, t) for s, _, t in found})
-            signs.append(_mark("", "\n".join(t for _, _, t in found)))
-            marks.append(own)
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(signs, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], ["host", "sign", "marks"])
+            aligner.tidied()
+            _, found = aligner.blocks(page, wrapper)
+            own = {}
+            for slot, text, links in found:
+                mark = _mark(slot, text)
+                times = own[mark]["chars"] // max(1, len(text)) if mark in own else 0
+                own[mark] = {"mark": mark, "slot": slot, "chars": len(text) * (times + 1), "links": links * (times + 1)}
+            signs.append(_mark("", "\n".join(x[1] for x in found)))
+            marks.append(list(own.values()))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(signs, pa.int64()), pa.array(marks, _MARKS)], ["host", "sign", "marks"])
 
 
 def _texts(batches):
     aligner = _aligner()
     for batch in batches:
-        texts = [main_text(aligner.blocks(page, wrapper), set(template or ())) for page, wrapper, template in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "template")), strict=True)]
+        texts = []
+        for page, wrapper, template, masses in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "template", "masses")), strict=True):
+            texts.append(aligner.article(page, wrapper, [(m["slot"], m["chars"], m["links"]) for m in masses or ()], set(template or ())))
         texts = [t.encode("utf-8", "replace").decode("utf-8") for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -101,25 +145,39 @@ def _with_host(pages: DataFrame, by_host: DataFrame, size: int) -> DataFrame:
     return pages.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
 
 
+def _bytes(by_host: DataFrame, *arrays: tuple[str, int]) -> int:
+    size = F.coalesce(F.octet_length("wrapper"), F.lit(0)) + F.octet_length("host") + 64
+    for name, each in arrays:
+        size = size + each * F.coalesce(F.size(name), F.lit(0))
+    return int(by_host.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+
+
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
     Null and empty pages give an empty text; pages without a host (null or relative url) are taken as one
     host.  Blocks are in page order, joined by one newline, white space within a block is one space, character
-    references are decoded; nothing is cut.  Repeated rows give repeated results; other columns are ignored.
+    references are decoded; nothing of the article is cut.  Repeated rows give repeated results, and count once in
+    the induction; a host's only page is judged by its own text alone.  Other columns are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    usable = rows.filter(F.length("html") > 0)
     beyond = F.greatest(F.length("html") - WRAPPER_CHARS, F.lit(0))
-    wrappers = written(usable.groupBy("host").agg(F.min_by("html", F.struct(beyond, F.xxhash64("html"), "html")).alias("wrapper")), "wrappers")
-    size = int(wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64), F.lit(0))).first()[0])
-    counted = _with_host(rows.select("html", "host"), wrappers, size).select("host", "html", "wrapper").mapInArrow(_marks, "host string, sign long, marks array<long>").dropDuplicates(["host", "sign"])
+    hashed = rows.filter(F.length("html") > 0).withColumn("h", F.xxhash64("html"))
+    # one page of each share of the hashes, so that equal pages count once and no host is gathered
+    samples = hashed.groupBy("host", F.pmod("h", F.lit(WRAPPER_PAGES)).alias("share")).agg(F.min_by("html", F.struct(beyond, "h", "html")).alias("html"), F.min(beyond).alias("beyond"))
+    short = F.filter(F.col("all"), lambda x: x["beyond"] == F.array_min(F.transform("all", lambda y: y["beyond"])))
+    gathered = samples.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("beyond", "share", "html"))).alias("all")).select("host", F.transform(short, lambda x: x["html"]).alias("samples"))
+    wrappers = written(gathered.mapInArrow(_wrap, "host string, wrapper string"), "wrappers")
+    counted = _with_host(rows.select("html", "host"), wrappers, _bytes(wrappers)).select("host", "html", "wrapper").mapInArrow(_marks, "host string, sign long, marks array<struct<mark: long, slot: string, chars: long, links: long>>").dropDuplicates(["host", "sign"])
     counted = written(counted, "marks")
-    distinct = counted.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
-    seen = counted.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("seen")).filter(F.col("seen") >= TEMPLATE_SHARE * TEMPLATE_PAGES)
-    template = seen.join(distinct, "host").filter(F.col("seen") >= TEMPLATE_SHARE * F.col("n")).groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("template"))
-    known = written(wrappers.join(template, "host", "full"), "templates")
-    size = int(known.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("wrapper"), F.lit(0)) + F.octet_length("host") + 64 + 8 * F.coalesce(F.size("template"), F.lit(0))), F.lit(0))).first()[0])
+    distinct = counted.groupBy("host").agg(F.count("*").alias("n"))
+    marks = counted.select("host", F.explode("marks").alias("m")).groupBy("host", "m.mark").agg(F.count("*").alias("seen"), F.min("m.slot").alias("slot"), F.sum("m.chars").alias("chars"), F.sum("m.links").alias("links"))
+    constant = (F.col("n") >= TEMPLATE_PAGES) & (F.col("seen") >= TEMPLATE_SHARE * F.col("n"))
+    marks = marks.join(distinct, "host").withColumn("constant", constant)
+    by_slot = marks.groupBy("host", "slot").agg(F.sum(F.when(~F.col("constant"), F.col("chars"))).alias("chars"), F.sum(F.when(~F.col("constant"), F.col("links"))).alias("links"), F.collect_list(F.when(F.col("constant"), F.col("mark"))).alias("template"))
+    mass = F.when(F.col("chars").isNotNull(), F.struct("slot", "chars", "links"))
+    of_host = by_slot.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("template"))).alias("template"), F.sort_array(F.collect_list(mass)).alias("masses"))
+    known = written(wrappers.join(of_host, "host", "full"), "templates")
     id_type = rows.schema["page_id"].dataType.simpleString()
-    return _with_host(rows, known, size).select("page_id", "url", "html", "wrapper", "template").mapInArrow(_texts, f"page_id {id_type}, url string, text string, n_chars long")
+    return _with_host(rows, known, _bytes(known, ("template", 8), ("masses", 48))).select("page_id", "url", "html", "wrapper", "template", "masses").mapInArrow(_texts, f"page_id {id_type}, url string, text string, n_chars long")
