@@ -137,16 +137,18 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def _with_host(pages: DataFrame, by_host: DataFrame, size: int) -> DataFrame:
-    """pages joined with one row for each host, of `size` bytes in all."""
+def _with_host(rows: DataFrame, by_host: DataFrame, size: int, dealt_by: str = "html") -> DataFrame:
+    """rows joined with one row for each host, of `size` bytes in all."""
     if size <= BROADCAST_BYTES:
-        return pages.join(F.broadcast(by_host), "host", "left")
+        return rows.join(F.broadcast(by_host), "host", "left")
     salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(dealt_by), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
 
 
-def _bytes(by_host: DataFrame, *arrays: tuple[str, int]) -> int:
-    size = F.coalesce(F.octet_length("wrapper"), F.lit(0)) + F.octet_length("host") + 64
+def _bytes(by_host: DataFrame, text: str | None, *arrays: tuple[str, int]) -> int:
+    size = F.octet_length("host") + 64
+    if text:
+        size = size + F.coalesce(F.octet_length(text), F.lit(0))
     for name, each in arrays:
         size = size + each * F.coalesce(F.size(name), F.lit(0))
     return int(by_host.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
@@ -169,15 +171,15 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     short = F.filter(F.col("all"), lambda x: x["beyond"] == F.array_min(F.transform("all", lambda y: y["beyond"])))
     gathered = samples.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("beyond", "share", "html"))).alias("all")).select("host", F.transform(short, lambda x: x["html"]).alias("samples"))
     wrappers = written(gathered.mapInArrow(_wrap, "host string, wrapper string"), "wrappers")
-    counted = _with_host(rows.select("html", "host"), wrappers, _bytes(wrappers)).select("host", "html", "wrapper").mapInArrow(_marks, "host string, sign long, marks array<struct<mark: long, slot: string, chars: long, links: long>>").dropDuplicates(["host", "sign"])
+    counted = _with_host(rows.select("html", "host"), wrappers, _bytes(wrappers, "wrapper")).select("host", "html", "wrapper").mapInArrow(_marks, "host string, sign long, marks array<struct<mark: long, slot: string, chars: long, links: long>>").dropDuplicates(["host", "sign"])
     counted = written(counted, "marks")
     distinct = counted.groupBy("host").agg(F.count("*").alias("n"))
     marks = counted.select("host", F.explode("marks").alias("m")).groupBy("host", "m.mark").agg(F.count("*").alias("seen"), F.min("m.slot").alias("slot"), F.sum("m.chars").alias("chars"), F.sum("m.links").alias("links"))
     constant = (F.col("n") >= TEMPLATE_PAGES) & (F.col("seen") >= TEMPLATE_SHARE * F.col("n"))
-    marks = marks.join(distinct, "host").withColumn("constant", constant)
+    marks = _with_host(marks, distinct, _bytes(distinct, None), "mark").withColumn("constant", constant)
     by_slot = marks.groupBy("host", "slot").agg(F.sum(F.when(~F.col("constant"), F.col("chars"))).alias("chars"), F.sum(F.when(~F.col("constant"), F.col("links"))).alias("links"), F.collect_list(F.when(F.col("constant"), F.col("mark"))).alias("template"))
     mass = F.when(F.col("chars").isNotNull(), F.struct("slot", "chars", "links"))
     of_host = by_slot.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("template"))).alias("template"), F.sort_array(F.collect_list(mass)).alias("masses"))
     known = written(wrappers.join(of_host, "host", "full"), "templates")
     id_type = rows.schema["page_id"].dataType.simpleString()
-    return _with_host(rows, known, _bytes(known, ("template", 8), ("masses", 48))).select("page_id", "url", "html", "wrapper", "template", "masses").mapInArrow(_texts, f"page_id {id_type}, url string, text string, n_chars long")
+    return _with_host(rows, known, _bytes(known, "wrapper", ("template", 8), ("masses", 48))).select("page_id", "url", "html", "wrapper", "template", "masses").mapInArrow(_texts, f"page_id {id_type}, url string, text string, n_chars long")
