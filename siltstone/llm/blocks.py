@@ -5,7 +5,8 @@ space one packed row with its sorted distinct keys, a part sends each block
 one packed row back, and the block reads the answers beside its texts.  Rows
 are few and keys are folded within a block first, so a key that occurs in a
 third of all rows costs at most one entry for each block.  The text moves
-once: every step reads the same exchange.
+once: every step reads the same exchange.  Empty messages are not sent, so there are
+never more rows than keys; sent keys are sorted, and only their differences move.
 """
 
 from __future__ import annotations
@@ -17,23 +18,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block, on average.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, on average: as many as make BLOCKS blocks, but no fewer than the first and no more than the second.
+BLOCK_BYTES, LARGEST_BLOCK_BYTES, BLOCKS = 8 << 20, 64 << 20, 4096
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def blocked(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None, block_bytes: int | None = None) -> tuple[DataFrame, int]:
     """(doc_id, text, carried columns, block) dealt by block, and the number of blocks.
 
-    Carried columns are renamed c0, c1 ... so that no name clashes.
+    Carried columns are renamed c0, c1 ... so that no name clashes.  Rows are dealt by id, text and the input partition they
+    come from, so repeated ids, null ids and equal texts are spread, and a lost task deals its rows as before.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)) + 64 * F.count("*")).first()[0]
-    n = max(1, -(-int(total) // block_bytes))
+    size = block_bytes or min(max(BLOCK_BYTES, int(total) // BLOCKS), LARGEST_BLOCK_BYTES)
+    n = max(1, -(-int(total) // size))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry or [])),
     )
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int"))
     return rows.repartition(n, "block"), n
 
 
@@ -51,6 +54,38 @@ def part_cuts(sorted_keys: np.ndarray, parts: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(sorted_keys, edges), len(sorted_keys)]
 
 
+def narrow(keys: np.ndarray) -> tuple:
+    """Sorted distinct keys as the first one and the differences, in as few bytes each as the largest needs."""
+    if not len(keys):
+        return 0, 0, 8, b""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return len(keys), int(keys[0]), width, np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def widened(form: tuple) -> np.ndarray:
+    """The keys of narrow()."""
+    n, first, width, raw = form
+    if not n:
+        return np.zeros(0, np.uint64)
+    steps = np.zeros((n - 1, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    out = np.empty(n, np.uint64)
+    out[0] = first
+    out[1:] = steps.view("<u8").ravel()
+    return np.cumsum(out, dtype=np.uint64)
+
+
+def by_part(messages: DataFrame, parts: int) -> DataFrame:
+    """Messages dealt to as many tasks as there are parts, so that a task doesn't grow with the data."""
+    return messages.repartition(parts, "part")
+
+
+def by_block(messages: DataFrame, blocks: int) -> DataFrame:
+    """Messages dealt as the blocks are: cogroups of texts with them, or with unions of them, read this exchange as it is."""
+    return messages.repartition(blocks, "block")
+
+
 def message_rows(block: list[int], part: list[int], blob: list[bytes]) -> pa.Table:
     return pa.table({"block": pa.array(block, pa.int32()), "part": pa.array(part, pa.int32()), "blob": pa.array(blob, pa.binary())})
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkernel as tk
-from .blocks import BLOCK_BYTES, MESSAGE, among, blocked, gathered, message_rows, packed, part_cuts, unpacked
+from .blocks import MESSAGE, among, blocked, by_block, by_part, gathered, message_rows, narrow, packed, part_cuts, unpacked, widened
 
 #: Bytes of a repeat, and of the substrings among which its anchor is chosen.
 WIDTH, GRAM = 200, 32
@@ -112,7 +112,7 @@ def _ask(parts, width, gram):
         k = anchor[first]
         cuts = part_cuts(k, parts)
         count = np.minimum(kinds, 60_000).astype(np.uint16)
-        rows = [(p, packed(k[a:b], several[a:b], count[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        rows = [(p, packed(narrow(k[a:b]), np.packbits(several[a:b]), count[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         return message_rows([key[0].as_py()] * len(rows), [p for p, _ in rows], [x for _, x in rows])
 
     return run
@@ -120,27 +120,29 @@ def _ask(parts, width, gram):
 
 def _answer(key, table):
     blocks, got = table.column("block").to_pylist(), [unpacked(x) for x in table.column("blob").to_pylist()]
-    k = np.concatenate([x[0] for x in got])
+    keys = [widened(x[0]) for x in got]
+    k = np.concatenate(keys)
     order = np.argsort(k, kind="stable")
     k = k[order]
-    several = np.concatenate([x[1] for x in got])[order]
+    several = np.concatenate([np.unpackbits(x[1], count=len(own)) for x, own in zip(got, keys, strict=True)])[order].astype(bool)
     count = np.concatenate([x[2] for x in got])[order].astype(np.int64)
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     shared = (np.diff(np.r_[first, len(k)]) > 1) | np.logical_or.reduceat(several, first)
     frequent = (np.add.reduceat(count, first) > LONG_PREFIX_AT)[shared]
     repeated = k[first][shared]
     out = []
-    for x in got:
-        have, at = among(x[0], repeated)
-        out.append(packed(x[0][have], frequent[at[have]]))
-    return message_rows(blocks, [-1] * len(blocks), out)
+    for own in keys:
+        have, at = among(own, repeated)
+        out.append(packed(narrow(own[have]), frequent[at[have]]) if have.any() else None)
+    told = [k for k, x in enumerate(out) if x is not None]
+    return message_rows([blocks[k] for k in told], [-1] * len(told), [out[k] for k in told])
 
 
 def _told(table):
     got = [unpacked(x) for x in table.column("blob").to_pylist()]
     if not got:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    keys, frequent = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+    keys, frequent = np.concatenate([widened(x[0]) for x in got]), np.concatenate([x[1] for x in got])
     order = np.argsort(keys, kind="stable")
     return keys[order], frequent[order]
 
@@ -340,7 +342,7 @@ def _finish(width, gram, output, carried, schema):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, output: str = "bytes", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, output: str = "bytes", block_bytes: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, carried columns, n_bytes, n_removed, n_spans and what is kept.
 
     A byte goes if a string of `width` bytes that covers it also starts anywhere else, in the same row
@@ -356,11 +358,11 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
         raise ValueError("gram must be between 1 and width")
     carry = carry or []
     texts, n = blocked(docs, id_col, text_col, carry, block_bytes)
-    n *= PARTS_PER_BLOCK
+    parts = n * PARTS_PER_BLOCK
     asked = texts.groupBy("block").applyInArrow(_ask(n, width, gram), MESSAGE)
-    told = asked.groupBy("part").applyInArrow(_answer, MESSAGE)
-    sent = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(n, width, gram), MESSAGE)
-    marks = sent.repartition(n, "part").groupBy("part").applyInArrow(_merge(width), MESSAGE)
+    told = by_block(by_part(asked, n).groupBy("part").applyInArrow(_answer, MESSAGE), n)
+    sent = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(parts, width, gram), MESSAGE)
+    marks = by_block(by_part(sent, parts).groupBy("part").applyInArrow(_merge(width), MESSAGE), n)
     last = StructField("kept", BinaryType()) if output == "bytes" else StructField("kept_sha256", StringType())
     inner = StructType([StructField("doc_id", LongType()), *(StructField(f"c{i}", texts.schema[f"c{i}"].dataType) for i in range(len(carry))), *(StructField(x, LongType()) for x in ("n_bytes", "n_removed", "n_spans")), last])
     done = texts.groupBy("block").cogroup(told.unionByName(marks).groupBy("block")).applyInArrow(_finish(width, gram, output, len(carry), to_arrow_schema(inner)), inner)

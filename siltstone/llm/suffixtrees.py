@@ -1,15 +1,15 @@
-"""Substring deduplication with windows named by prefix doubling within minimiser groups.
+"""Substring deduplication with suffix trees of groups of suffixes.
 
-No suffix tree is built: only its nodes at a depth of `width` words would be wanted, and
-those are the equal windows of `width` words.  Windows are grouped, each group's windows are
-named by prefix doubling (equal names, equal words), and of the documents that have a window
-the least keeps it.
+The suffixes of the corpus are dealt to groups that fit in memory.  Of each group the suffix tree is built as
+sorted suffixes with the prefixes they share, its internal nodes read off by the stretches of those: the leaves below
+an internal node of `width` words or more are the places of one repeat, and of their documents the least keeps it.
 
-What groups a window.  Its anchor is the least hash among its `gram`-word substrings (a
-minimiser, which may lie anywhere in the window), so windows of equal words have equal
-anchors.  Anchors that occur once in the corpus are dropped first, since no window around them
+What groups a suffix.  A plain prefix would part neighbouring suffixes, and so move each word `width` times.
+Instead each window of `width` words has an anchor, the least hash among its `gram`-word substrings (a
+minimiser), so windows of equal words have equal anchors, and neighbours mostly have the same one: they move together,
+as one run.  Anchors that occur once in the corpus are dropped first, since no window around them
 can repeat; this moves a few bytes for each distinct anchor.  Where an anchor is so frequent
-that its group would outgrow memory, windows are grouped by a hash of the whole window.
+that its group would outgrow memory, the grouping prefix is lengthened to the whole window.
 Equal runs of one block are folded to their least document before they move, so a passage in
 a third of all documents costs one row a block.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkernel as tk
-from .blocks import BLOCK_BYTES, MESSAGE, among, blocked, gathered, message_rows, packed, part_cuts, unpacked
+from .blocks import MESSAGE, among, blocked, by_block, by_part, gathered, message_rows, narrow, packed, part_cuts, unpacked, widened
 
 #: Words of a window, and of the substrings among which its anchor is chosen.
 WIDTH, GRAM = 13, 5
@@ -81,7 +81,7 @@ def _ask_anchors(parts: int, width: int, gram: int):
         k = k[first]
         cuts = part_cuts(k, parts)
         block = key[0].as_py()
-        rows = [(p, packed(k[a:b], several[a:b], count[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        rows = [(p, packed(narrow(k[a:b]), np.packbits(several[a:b]), count[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         return message_rows([block] * len(rows), [p for p, _ in rows], [x for _, x in rows])
 
     return run
@@ -89,10 +89,11 @@ def _ask_anchors(parts: int, width: int, gram: int):
 
 def _answer_anchors(key, table):
     blocks, got = table.column("block").to_pylist(), [unpacked(x) for x in table.column("blob").to_pylist()]
-    k = np.concatenate([x[0] for x in got])
+    keys = [widened(x[0]) for x in got]
+    k = np.concatenate(keys)
     order = np.argsort(k, kind="stable")
     k = k[order]
-    several = np.concatenate([x[1] for x in got])[order]
+    several = np.concatenate([np.unpackbits(x[1], count=len(own)) for x, own in zip(got, keys, strict=True)])[order].astype(bool)
     count = np.concatenate([x[2] for x in got])[order].astype(np.int64)
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     n = np.diff(np.r_[first, len(k)])
@@ -100,10 +101,11 @@ def _answer_anchors(key, table):
     frequent = np.add.reduceat(count, first) > LONG_PREFIX_AT
     repeated, frequent = k[first][shared], frequent[shared]
     out = []
-    for x in got:
-        have, at = among(x[0], repeated)
-        out.append(packed(x[0][have], frequent[at[have]]))
-    return message_rows(blocks, [-1] * len(blocks), out)
+    for own in keys:
+        have, at = among(own, repeated)
+        out.append(packed(narrow(own[have]), frequent[at[have]]) if have.any() else None)
+    told = [k for k, x in enumerate(out) if x is not None]
+    return message_rows([blocks[k] for k in told], [-1] * len(told), [out[k] for k in told])
 
 
 def _runs(h, bounds, repeated, frequent, width, gram):
@@ -136,7 +138,7 @@ def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     got = [unpacked(x) for x in table.column("blob").to_pylist()]
     if not got:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    keys, frequent = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+    keys, frequent = np.concatenate([widened(x[0]) for x in got]), np.concatenate([x[1] for x in got])
     order = np.argsort(keys, kind="stable")
     return keys[order], frequent[order]
 
@@ -171,19 +173,51 @@ def _send_runs(parts: int, width: int, gram: int):
     return run
 
 
-def deep_nodes(ids: np.ndarray, depth: int) -> np.ndarray:
-    """For every position of a word sequence, the number of the suffix tree's node at that string depth (-1 past the end).
+def suffix_order(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of some strings of words in lexical order, and how many words each shares with the one before it.
 
-    Names of depth 1, 2, 4 ... are paired up; two suffixes share a name when they lie below one node.
+    words: the strings end to end, as numbers; strings end at places that no suffix reaches beyond.  Suffixes are
+    named by their first 1, 2, 4 ... words, in order, until the longest is told apart; the names then give the common prefixes.
     """
-    n = len(ids)
-    names, have = ids.astype(np.int64), 1
-    while have < depth:
-        step = min(have, depth - have)
-        pair = (names[: len(names) - step].astype(np.uint64) << np.uint64(32)) | names[step:].astype(np.uint64)
-        names = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        have += step
-    return np.r_[names, np.full(n - len(names), -1)]
+    n = len(words)
+    # each string is ended by a number of its own, larger than all words
+    at = np.arange(n) + np.repeat(np.arange(len(starts)), lengths)
+    text = np.empty(n + len(starts), np.int64)
+    text[at] = words
+    text[starts + lengths + np.arange(len(starts))] = (int(words.max()) + 1 if n else 0) + np.arange(len(starts))
+    levels, names, have = [], text, 1
+    longest = int(lengths.max()) + 1 if len(lengths) else 1
+    while True:
+        levels.append(names.astype(np.int32))
+        if have >= longest:
+            break
+        pair = names.astype(np.uint64) << np.uint64(32)
+        pair[:-have] |= names[have:].astype(np.uint64)
+        names = np.unique(pair, return_inverse=True)[1]
+        have *= 2
+    order = np.argsort(levels[-1][at], kind="stable")
+    sorted_at = at[order]
+    lcp = np.zeros(n, np.int64)
+    left, right = sorted_at[:-1].copy(), sorted_at[1:].copy()
+    for k in range(len(levels) - 1, -1, -1):
+        inside = (left < len(text)) & (right < len(text))
+        same = np.zeros(len(left), bool)
+        same[inside] = levels[k][left[inside]] == levels[k][right[inside]]
+        lcp[1:][same] += 1 << k
+        left[same] += 1 << k
+        right[same] += 1 << k
+    return order, lcp
+
+
+def deep_nodes(lcp: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix tree's highest internal nodes of a string depth of `depth` or more: first leaf of each, and the leaf after its last.
+
+    A node is a longest stretch of sorted suffixes whose neighbours all share that much; its own string depth, the length of the
+    repeat, is the least of theirs."""
+    deep = np.r_[False, lcp[1:] >= depth, False] if len(lcp) else np.zeros(2, bool)
+    first = np.flatnonzero(deep[1:] & ~deep[:-1])
+    last = np.flatnonzero(deep[:-1] & ~deep[1:])
+    return first, last + 1
 
 
 def _build_trees(width: int):
@@ -196,17 +230,18 @@ def _build_trees(width: int):
         lengths = np.concatenate([np.diff(x[3]) for x in got])
         offsets = np.r_[0, np.cumsum(lengths)]
         starts, ends, bounds = tk.word_spans(text, offsets)
-        h = tk.span_hashes(text, starts, ends)
-        names = np.unique(h, return_inverse=True)[1]
-        nodes = deep_nodes(names, width)
+        names = np.unique(tk.span_hashes(text, starts, ends), return_inverse=True)[1]
+        order, lcp = suffix_order(names, bounds[:-1], np.diff(bounds))
+        doc = np.repeat(ids, np.diff(bounds))[order]
+        first, stop = deep_nodes(lcp, width)
+        later = np.zeros(len(names), bool)
+        if len(first):
+            inside = np.arange(int((stop - first).sum())) + np.repeat(first - np.r_[0, np.cumsum(stop - first)[:-1]], stop - first)
+            least = np.minimum.reduceat(doc, np.ravel(np.column_stack([first, stop]))[: -1 if stop[-1] == len(doc) else None])[::2]
+            later[order[inside]] = doc[inside] > np.repeat(least, stop - first)
+        # the windows of a run are its first suffixes
         place = np.r_[0, np.cumsum(n)]
-        at = np.arange(place[-1]) + np.repeat(bounds[:-1] - place[:-1], n)
-        node, doc = nodes[at], np.repeat(ids, n)
-        order = np.lexsort((doc, node))
-        first = np.flatnonzero(np.r_[True, node[order][1:] != node[order][:-1]])
-        least = np.zeros(int(node.max()) + 1, np.int64)
-        least[node[order][first]] = doc[order][first]
-        later = least[node] < doc
+        later = later[np.arange(place[-1]) + np.repeat(bounds[:-1] - place[:-1], n)]
         out = []
         for k, x in enumerate(got):
             a, b = size[k], size[k + 1]
@@ -283,7 +318,7 @@ def _finish(width: int, gram: int, output: str, carried: int, schema: pa.Schema)
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, output: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, output: str = "text", block_bytes: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, carried columns, n_words, n_removed and what is kept.
 
     A word goes if a window of `width` words of its row that covers it also starts in a row
@@ -300,11 +335,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
         raise ValueError("width must be at least 2, gram between 1 and width")
     carry = carry or []
     texts, n = blocked(docs, id_col, text_col, carry, block_bytes)
-    n *= PARTS_PER_BLOCK
+    parts = n * PARTS_PER_BLOCK
     asked = texts.groupBy("block").applyInArrow(_ask_anchors(n, width, gram), MESSAGE)
-    told = asked.groupBy("part").applyInArrow(_answer_anchors, MESSAGE)
-    sent = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send_runs(n, width, gram), MESSAGE)
-    marks = sent.groupBy("part").applyInArrow(_build_trees(width), MESSAGE)
+    told = by_block(by_part(asked, n).groupBy("part").applyInArrow(_answer_anchors, MESSAGE), n)
+    sent = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send_runs(parts, width, gram), MESSAGE)
+    marks = by_block(by_part(sent, parts).groupBy("part").applyInArrow(_build_trees(width), MESSAGE), n)
     last = "kept_text" if output == "text" else "kept_sha256"
     inner = StructType([StructField("doc_id", LongType()), *(StructField(f"c{i}", texts.schema[f"c{i}"].dataType) for i in range(len(carry))), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField(last, StringType())])
     finish = _finish(width, gram, output, len(carry), to_arrow_schema(inner))
