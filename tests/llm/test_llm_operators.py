@@ -71,7 +71,7 @@ def test_kernels_agree_with_python():
 
 
 def test_op1_scores(docs, rows):
-    got = {r["doc_id"]: r for r in ngramlm.score_documents(docs, block_bytes=3000).collect()}
+    got = {r["doc_id"]: r for r in ngramlm.score_documents(docs, block_bytes=3000, order=2).collect()}
     seqs = {i: [*words(lower(t)), None] for i, t in rows}
     out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in seqs}
     uni, bi = Counter(), Counter()
