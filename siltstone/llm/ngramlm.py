@@ -20,6 +20,8 @@ its own count there is the whole one and needn't move.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,16 +41,22 @@ PAIRS, TRIPLES, TOTALS, SUMMING = -1, -2, -3, -1
 ABREAST = 24
 
 
-def _small(counts: np.ndarray, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Counts as bytes, those of 127 and more apart; the upper bit says whether several blocks have the key."""
+def _small(counts: np.ndarray, shared: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
+    """Counts as bytes, deflated since most are one, those of 127 and more apart; the upper bit says whether several blocks have the key."""
     small = np.minimum(counts, 127).astype(np.uint8)
-    return (small if shared is None else small | shared.astype(np.uint8) << 7), counts[counts >= 127].astype(np.int64)
+    return zlib.compress((small if shared is None else small | shared.astype(np.uint8) << 7).tobytes(), 1), counts[counts >= 127].astype(np.int64)
 
 
-def _whole(small: np.ndarray, large: np.ndarray) -> np.ndarray:
-    out = (small & 127).astype(np.int64)
+def _marked(small: bytes, large: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of _small(), and what their upper bits say."""
+    raw = np.frombuffer(zlib.decompress(small), np.uint8)
+    out = (raw & 127).astype(np.int64)
     out[out == 127] = large
-    return out
+    return out, raw > 127
+
+
+def _whole(small: bytes, large: np.ndarray) -> np.ndarray:
+    return _marked(small, large)[0]
 
 
 class Tokens:
@@ -143,8 +151,9 @@ def _told(table: pa.Table, about: int) -> list[tuple]:
 def _told_pairs(table: pa.Table, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     got = _told(table, PAIRS)
     words = np.concatenate([np.zeros(0, np.int64), *(_whole(x[1], x[2]) for x in got)])
-    pairs = np.concatenate([np.zeros(0, np.int64), *(_whole(x[3], x[4]) for x in got)])
-    shared = np.concatenate([np.zeros(0, bool), *((x[3] >> 7).astype(bool) for x in got)])
+    marked = [_marked(x[3], x[4]) for x in got]
+    pairs = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in marked)])
+    shared = np.concatenate([np.zeros(0, bool), *(x[1] for x in marked)])
     if len(words) != len(t.words) or len(pairs) != len(t.pairs):
         raise RuntimeError("a block's texts changed between asking and scoring; the input is not deterministic")
     return words, pairs, shared
