@@ -15,6 +15,8 @@ as far as SAMPLE_PER_CLASS * SAMPLE_TEXT characters go.  No language is left wit
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,58 +24,46 @@ from pyspark.sql import functions as F
 
 SAMPLE_PER_CLASS, SAMPLE_TEXT, CLASSES = 300, 20_000, 64
 LANDMARKS_PER_CLASS = 16
+#: Cells of the presence rows of texts that are multiplied at once.
+BATCH_CELLS = 1 << 24
 SALTS = 32
 RIDGE = 1e-3
 UNKNOWN = "und"
 
-# Characters are folded to 64 symbols: 0 for everything that is no letter or digit, letters a-z,
-# digits, and 37 classes of other letters by code point.
-_SYMBOLS = 64
-_N1, _N2, _N3 = _SYMBOLS, _SYMBOLS**2, _SYMBOLS**3
-GRAMS = _N1 + _N2 + _N3
+#: What is no letter, mark or digit is one boundary; all digits are one symbol.
+_BOUNDARY, _DIGIT = 0, ord("0")
+_BITS = 21
+_table: list[np.ndarray] = []
 
 
 def _symbol_table() -> np.ndarray:
-    table = np.zeros(1 << 16, np.int32)
-    for c in range(1 << 16):
+    """The symbol of every code point: letters and marks stand for themselves."""
+    table = np.zeros(0x110000, np.uint64)
+    for c in range(0x110000):
         ch = chr(c)
-        if "a" <= ch <= "z":
-            table[c] = 1 + c - 97
+        if ch.isalpha() or unicodedata.category(ch)[0] == "M":
+            table[c] = c
         elif ch.isdigit():
-            table[c] = 27
-        elif ch.isalpha():
-            table[c] = 28 + c % 36
+            table[c] = _DIGIT
     return table
 
 
-_table: list[np.ndarray] = []
-
-
-def _symbols(text: str) -> np.ndarray:
+def gram_set(text: str) -> np.ndarray:
+    """The distinct 1-, 2- and 3-grams of a text's symbols, sorted; a gram is its code points side by side, so none is taken for another."""
     if not _table:
         _table.append(_symbol_table())
-    cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    wide = cps > 0xFFFF
-    if wide.any():
-        cps = np.where(wide, cps & 0xFFFF | 0x4E00, cps) & 0xFFFF
-    return _table[0][cps]
-
-
-def mark_grams(text: str, seen: np.ndarray) -> int:
-    """Set seen[g] for every gram g of text (seen: GRAMS booleans, cleared first); returns how many."""
-    seen[:] = False
-    s = _symbols(text)
-    if len(s) == 0:
-        return 0
-    # runs of other characters count as one boundary
+    s = _table[0][np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    if not len(s):
+        return s
     keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-    s = np.concatenate([[0], s[keep], [0]]).astype(np.int32)
-    seen[s] = True
-    pair = s[:-1] * _SYMBOLS + s[1:]
-    seen[_N1 + pair] = True
-    seen[_N1 + _N2 + pair[:-1] * _SYMBOLS + s[2:]] = True
-    return int(np.count_nonzero(seen))
+    keep[1:] = (s[1:] != _BOUNDARY) | (s[:-1] != _BOUNDARY)
+    edge = np.zeros(1, np.uint64)
+    s = np.concatenate([edge, s[keep], edge])
+    # single symbols are told from longer grams by what no symbol has in the places before them
+    one = s | np.uint64((1 << 2 * _BITS) - 1 << _BITS)
+    two = s[:-1] << np.uint64(_BITS) | s[1:] | np.uint64((1 << _BITS) - 1 << 2 * _BITS)
+    three = s[:-2] << np.uint64(2 * _BITS) | s[1:-1] << np.uint64(_BITS) | s[2:]
+    return np.unique(np.concatenate([np.unique(one), two, three]))
 
 
 class KernelModel:
@@ -91,17 +81,12 @@ class KernelModel:
             own = [i for i, x in enumerate(labels) if x == c]
             middle = sorted(own, key=lambda i: (-len(texts[i]), i))[len(own) // 4 :][:per_class] or own[:per_class]
             chosen += middle
-        seen = np.zeros(GRAMS, bool)
-        union = np.zeros(GRAMS, bool)
-        for i in chosen:
-            mark_grams(texts[i], seen)
-            union |= seen
-        codes = np.flatnonzero(union)
+        sets = [gram_set(texts[i]) for i in chosen]
+        codes = np.unique(np.concatenate(sets))
         present = np.zeros((len(codes), len(chosen)), np.float32)
-        sizes = np.zeros(len(chosen))
-        for k, i in enumerate(chosen):
-            sizes[k] = max(1, mark_grams(texts[i], seen))
-            present[:, k] = seen[codes]
+        for k, own in enumerate(sets):
+            present[np.searchsorted(codes, own), k] = 1
+        sizes = np.array([max(1, len(own)) for own in sets], float)
         model = cls(classes, codes, present, sizes, np.zeros((len(chosen), len(classes)), np.float32))
         kernel = model.kernel(texts)
         own = kernel[chosen]
@@ -118,14 +103,17 @@ class KernelModel:
 
     def kernel(self, texts: list[str], batch: int = 256) -> np.ndarray:
         out = np.zeros((len(texts), self.present.shape[1]))
-        seen = np.zeros(GRAMS, bool)
+        batch = max(1, min(batch, BATCH_CELLS // max(1, len(self.codes))))
         rows = np.zeros((min(batch, max(1, len(texts))), len(self.codes)), np.float32)
         for at in range(0, len(texts), batch):
             part = texts[at : at + batch]
             size = np.ones(len(part))
+            rows[:] = 0
             for i, text in enumerate(part):
-                size[i] = max(1, mark_grams(text, seen))
-                rows[i] = seen[self.codes]
+                own = gram_set(text)
+                size[i] = max(1, len(own))
+                place = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+                rows[i, place[self.codes[place] == own]] = 1
             out[at : at + len(part)] = (rows[: len(part)] @ self.present) / np.sqrt(size[:, None] * self.sizes[None, :])
         return out
 
@@ -150,7 +138,7 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     keys = order.select("lang", "h", "at").collect()  # per_class for each language at most
     classes = len({r["lang"] for r in keys})
     if not classes:
-        return KernelModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0), np.float32))
+        return KernelModel([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0), np.float32))
     most, landmarks = (max(1, min(each, CLASSES * each // classes)) for each in (per_class, LANDMARKS_PER_CLASS))
     wanted = labelled.sparkSession.createDataFrame([(r["lang"], r["h"], r["at"]) for r in keys if r["at"] <= most], "lang string, h long, at int")
     drawn = rows.join(F.broadcast(wanted), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
