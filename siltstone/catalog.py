@@ -163,11 +163,29 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.exact_copies(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+_ALL_MIN = ", ".join(f"list_min(list_transform(h, lambda x: (x * {(i * 2_654_435_761 + 1) | 1}::HUGEINT + {i * 40_503 + 17}) % 2305843009213693951::HUGEINT))::BIGINT" for i in range(64))
+_SIGNED = f"""u as (select doc_id, coalesce(text, '') as t, len(regexp_extract_all(coalesce(text, ''), '[一-鿿]')) as cjk, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) as latin from documents),
+w as (select doc_id, case when cjk + latin >= 5 and cjk / (cjk + latin) <= 0.1 then regexp_extract_all(lower(t), '[a-z0-9]+') else regexp_extract_all(case when cjk + latin >= 5 then regexp_replace(t, '\\s+', '', 'g') else lower(t) end, '(?s).') end as w, case when cjk + latin >= 5 and cjk / (cjk + latin) <= 0.1 then ' ' else '' end as glue from u),
+g as (select doc_id, list_distinct(case when glue = ' ' then list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' ')) else list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], '')) end) as g from w where len(w) > 0),
+h as (select doc_id, list_transform(g, lambda x: ('0x' || substr(md5(x), 1, 15))::HUGEINT) as h from g),
+sig as (select doc_id as id, [{_ALL_MIN}] as s from h)"""
+
+
+@query(f"""with {_SIGNED}, f as (select s, min(id) as id from sig group by s),
+k as (select id, b, s[b * 4 + 1:b * 4 + 4] as k from (select id, s, unnest(generate_series(0, 15)) as b from f)),
+c as (select distinct x.id as later, y.id as earlier from k x join k y on x.b = y.b and x.k = y.k where y.id < x.id),
+p as (select later, earlier, list_sum(list_transform(generate_series(1, 64), lambda i: (a.s[i] = b.s[i])::INTEGER)) / 64.0 as similarity from c join f a on a.id = later join f b on b.id = earlier)
+select later, earlier, similarity::DOUBLE as similarity from p where similarity >= 0.85 union all select sig.id, f.id, 1.0::DOUBLE from sig join f using (s) where f.id < sig.id""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MinHash and banding; xxhash64 signatures, which SQL elsewhere can't compute (tests hold it against exact similarity)."""
-    out = cleaning.near_duplicate_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    return out.withColumn("similarity", F.bround("similarity", 6))
+    """MinHash and banding: pairs of first documents, and the others with the first of their signature."""
+    return cleaning.near_duplicate_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"with {_SIGNED} select id as doc_id, md5(array_to_string(s, ',')) as digest from sig")
+def minhash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64 minima of every document."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", python.minhash_of(F.col("text")).alias("s")).filter("s is not null")
+    return rows.select("doc_id", F.md5(F.array_join("s", ",")).alias("digest"))
 
 
 _MIN = ", ".join(f"list_min(list_transform(h, lambda x: (x * {(i * 2_654_435_761 + 1) | 1}::HUGEINT + {i * 40_503 + 17}) % 2305843009213693951::HUGEINT))::BIGINT" for i in range(4))
@@ -179,8 +197,7 @@ h as (select item_id, list_transform(sh, lambda x: ('0x' || substr(md5(x), 1, 15
 select item_id, m[1] as m0, m[2] as m1, m[3] as m2, m[4] as m3 from (select item_id, [{_MIN}] as m from h)""")
 def minhash_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four permutations of the portable signature of every benchmark item."""
-    rows = _table(spark, sf_dir, "benchmark").select("item_id", python.shingles(F.col("text")).alias("grams"))
-    return rows.select("item_id", cleaning.portable_minhash(F.col("grams"), 4).alias("s")).select("item_id", *[F.get("s", F.lit(i)).alias(f"m{i}") for i in range(4)])
+    return _table(spark, sf_dir, "benchmark").select("item_id", python.minhash_of(F.col("text"), 4).alias("s")).select("item_id", *[F.get("s", F.lit(i)).alias(f"m{i}") for i in range(4)])
 
 
 @query("""with a as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents),
@@ -240,7 +257,7 @@ def pii_mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pii_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nine rules by document, with look-arounds (rows only: no look-behind in the SQL engine)."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(security.pii_hits(F.col("text"))).alias("h"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(python.pii_spans(F.col("text"))).alias("h"))
     return rows.groupBy("doc_id", F.col("h.type").alias("type")).agg(F.count("*").alias("n"))
 
 
@@ -494,7 +511,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select p.project, p.metric, p.floor, m.value, case when m.value is null then 'missing' else 'below' end as issue from (values ('code-search', 'recall_at_10', 0.7), ('code-search', 'faithfulness', 0.8)) p(project, metric, floor)
 left join (select 'code-search' as project, 'recall_at_10' as metric, round_even(avg((event_type = 'error')::INTEGER), 6) as value from events) m using (project, metric) where m.value is null or m.value < p.floor""")
 def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    floors = spark.createDataFrame([(p, m, v) for p, ms in evaluation.THRESHOLDS.items() for m, v in ms.items()], "project string, metric string, floor double").filter("project = 'code-search'")
+    floors = spark.createDataFrame([("code-search", "recall_at_10", 0.7), ("code-search", "faithfulness", 0.8)], "project string, metric string, floor double")
     got = _table(spark, sf_dir, "events").agg(F.bround(F.avg((F.col("event_type") == "error").cast("int")), 6).alias("value")).select(F.lit("code-search").alias("project"), F.lit("recall_at_10").alias("metric"), "value")
     return evaluation.gate(got, floors).select("project", "metric", "floor", "value", "issue")
 

@@ -42,8 +42,3 @@ def user_hash(salt: str, user_id: Column) -> Column:
 
 def webhook_signature(secret: str, body: Column) -> Column:
     return F.concat(F.lit("sha256="), hmac_sha256(secret, body))
-
-
-def md5_int60(x: Column) -> Column:
-    """A portable 60-bit integer hash: the first 15 hex digits of MD5."""
-    return F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")

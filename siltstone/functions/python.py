@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,32 +28,92 @@ def normalize(text: Column) -> Column:
     return tidy(nfkc(text))
 
 
+def _grams(units, k: int, glue: str) -> list[str]:
+    """Distinct runs of k units in order; fewer units make one run, none make none."""
+    return list(dict.fromkeys(x for i in range(max(1, len(units) - k + 1)) if (x := glue.join(units[i : i + k]))))
+
+
+def shingle_list(t: str | None, k: int = 5) -> list[str]:
+    """k-word shingles of English-like text, in lower case; k-character ones of anything else, without white space where CJK letters are many."""
+    t = t or ""
+    cjk, latin = len(_CJK.findall(t)), len(_LATIN.findall(t))
+    if cjk + latin >= 5 and cjk / (cjk + latin) <= 0.1:
+        return _grams(_LOWER_WORD.findall(t.lower()), k, " ")
+    return _grams("".join(t.split()) if cjk + latin >= 5 else t.lower(), k, "")
+
+
 def shingles(text: Column, k: int = 5) -> Column:
-    """Distinct k-word shingles of Latin text (lower case), or k-character ones where CJK letters prevail; in order.
+    """Distinct shingles in order (see shingle_list).
 
     In Python because the JVM's slice() copies the whole array for every shingle, which is quadratic in long texts."""
 
-    def one(t: str | None) -> list[str]:
-        t = t or ""
-        cjk, latin = len(_CJK.findall(t)), len(_LATIN.findall(t))
-        if cjk + latin >= 5 and cjk / (cjk + latin) > 0.1:
-            units, glue = list("".join(t.split())), ""
-        else:
-            units, glue = _LOWER_WORD.findall(t.lower()), " "
-        return list(dict.fromkeys(x for i in range(max(1, len(units) - k + 1)) if (x := glue.join(units[i : i + k]))))
-
     @pandas_udf(ArrayType(StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: shingle_list(t, k))
+
+    return run(text)
+
+
+_M61 = (1 << 61) - 1
+
+
+def _shifted(v: np.ndarray, k: int) -> np.ndarray:
+    """v * 2**k modulo 2**61 - 1, for v below 2**61: a rotation of 61 bits."""
+    return (v << np.uint64(k)) & np.uint64(_M61) | v >> np.uint64(61 - k)
+
+
+def min_hashes(x: np.ndarray, permutations: int) -> np.ndarray:
+    """The least (a x + b) mod 2**61 - 1 over 60-bit numbers x, for each of the permutations a = (i * 2654435761 + 1) | 1, b = i * 40503 + 17."""
+    i = np.arange(permutations, dtype=np.uint64)[:, None]
+    a, b = i * np.uint64(2_654_435_761) + np.uint64(1) | np.uint64(1), i * np.uint64(40_503) + np.uint64(17)
+    low = np.uint64((1 << 20) - 1)
+    best = np.full(permutations, np.iinfo(np.uint64).max)
+    for at in range(0, len(x), 4096):
+        part = x[None, at : at + 4096]
+        total = a * (part & low) + _shifted(a * (part >> np.uint64(20) & low), 20) + _shifted(a * (part >> np.uint64(40)), 40) + b
+        total = (total & np.uint64(_M61)) + (total >> np.uint64(61))
+        total[total >= np.uint64(_M61)] -= np.uint64(_M61)
+        best = np.minimum(best, total.min(axis=1))
+    return best.astype(np.int64)
+
+
+def minhash_of(text: Column, permutations: int = 64, k: int = 5) -> Column:
+    """MinHash signature of a text's shingles, by MD5 and so the same in any engine; null where there are none."""
+
+    def one(t: str | None):
+        found = shingle_list(t, k)
+        return min_hashes(np.array([int(hashlib.md5(g.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16) for g in found], np.uint64), permutations) if found else None
+
+    @pandas_udf("array<long>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(one)
 
     return run(text)
 
 
+def word_grams(text: Column, k: int, among: frozenset[int] | None = None) -> Column:
+    """Distinct runs of k lower-case words of letters and digits; with among, those whose CRC is in it."""
+
+    @pandas_udf(ArrayType(StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        made = s.map(lambda t: _grams(_LOWER_WORD.findall((t or "").lower()), k, " "))
+        return made if among is None else made.map(lambda gs: [g for g in gs if zlib.crc32(g.encode()) in among])
+
+    return run(text)
+
+
 _CJK, _LATIN, _LOWER_WORD = re.compile("[一-鿿]"), re.compile("[A-Za-z]"), re.compile("[a-z0-9]+")
 _RULES = [(kind, re.compile(pattern)) for kind, pattern in PII_PATTERNS]
 LONG_NUMBERS = ("cn_mobile", "bank_card", "cn_id_card")
 
 
+#: What a text must have for a rule to be worth trying.
+_NEEDED = {
+    "private_key": lambda t: "-----BEGIN " in t, "db_dsn": lambda t: "://" in t, "jwt": lambda t: "eyJ" in t, "api_key": re.compile("AKIA|sk-|ghp_|xox").search,
+    "cn_id_card": re.compile(r"\d{17}").search, "bank_card": re.compile(r"\d{15}").search, "cn_mobile": re.compile(r"\d{11}").search, "email": lambda t: "@" in t, "ipv4": re.compile(r"\d\.\d").search,
+}
+
+
 def find_pii(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) in text order; where hits overlap, the earlier rule's stands."""
     import bisect
@@ -59,6 +121,8 @@ def find_pii(text: str) -> list[tuple[int, int, str]]:
     starts: list[int] = []
     found: list[tuple[int, int, str]] = []
     for kind, rule in _RULES:
+        if not _NEEDED[kind](text):
+            continue
         for hit in rule.finditer(text):
             a, b = hit.span()
             at = bisect.bisect_left(starts, b)

@@ -78,21 +78,6 @@ def drop_pii(text: Column, kinds: tuple[str, ...] | None = None) -> Column:
     return text
 
 
-def pii_hits(text: Column) -> Column:
-    """array<struct<type, value>> of rules taken in order, each on what earlier rules left."""
-    out = F.array().cast("array<struct<type:string,value:string>>")
-    rest = text
-    for kind, pattern in PII_PATTERNS:
-        found = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
-        out = F.concat(out, F.transform(found, _typed(kind)))
-        rest = F.regexp_replace(rest, pattern, "\x01")
-    return out
-
-
-def _typed(kind: str):
-    return lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"))
-
-
 def sensitivity_after(declared: Column, kinds: Column) -> Column:
     """The declared level 1-3 raised to the severity of the hits, never lowered."""
     worst = F.array_max(F.transform(kinds, lambda k: F.coalesce(F.create_map(*[F.lit(x) for kv in PII_SEVERITY.items() for x in kv])[k], F.lit(0))))

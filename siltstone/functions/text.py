@@ -43,30 +43,46 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often and in whatever branch it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def count_chars(text: Column, others: str) -> Column:
+    """How many characters are not of a class (a pattern of runs of the others is given)."""
+    return F.char_length(F.regexp_replace(text, others, ""))
+
+
 def detect_language(text: Column) -> Column:
     """zh, en, mixed, or unknown for fewer than five letters."""
-    cjk, latin = F.regexp_count(text, F.lit(CJK_PATTERN)), F.regexp_count(text, F.lit("[A-Za-z]"))
-    share = cjk / (cjk + latin)
-    return F.when(F.coalesce(cjk + latin, F.lit(0)) < 5, "unknown").when(share >= 0.7, "zh").when(share <= 0.1, "en").otherwise("mixed")
+
+    def judged(n: Column) -> Column:
+        share = n["cjk"] / (n["cjk"] + n["latin"])
+        return F.when(F.coalesce(n["cjk"] + n["latin"], F.lit(0)) < 5, "unknown").when(share >= 0.7, "zh").when(share <= 0.1, "en").otherwise("mixed")
+
+    return once(F.struct(count_chars(text, "[^一-鿿]+").alias("cjk"), count_chars(text, "[^A-Za-z]+").alias("latin")), judged)
 
 
 def quality_verdict(text: Column, min_chars: int = 30, max_symbol_share: float = 0.5) -> Column:
     """The first reason why a text is of no use for retrieval, or ok."""
-    s = stripped(F.coalesce(text, F.lit("")))
-    letters = F.regexp_count(s, F.lit(r"[\p{L}\p{N}]"))
-    return (
-        F.when(F.char_length(s) < min_chars, f"too_short(<{min_chars})")
-        .when(s.rlike(r"^[\s\d.\-_、。，,]+$"), "digits_punct_only")
-        .when(F.regexp_count(s, F.lit(r"\.{4,}\s*\d+")) >= 3, "looks_like_toc")
-        .when(letters / F.greatest(F.char_length(s), F.lit(1)) < 1 - max_symbol_share, "mostly_symbols")
-        .otherwise("ok")
-    )
+
+    def judged(s: Column) -> Column:
+        letters = count_chars(s, r"[^\p{L}\p{N}]+")
+        return (
+            F.when(F.char_length(s) < min_chars, f"too_short(<{min_chars})")
+            .when(s.rlike(r"^[\s\d.\-_、。，,]+$"), "digits_punct_only")
+            .when(F.contains(s, F.lit("....")) & (F.regexp_count(s, F.lit(r"\.{4,}\s*\d+")) >= 3), "looks_like_toc")
+            .when(letters / F.greatest(F.char_length(s), F.lit(1)) < 1 - max_symbol_share, "mostly_symbols")
+            .otherwise("ok")
+        )
+
+    return once(stripped(F.coalesce(text, F.lit(""))), judged)
 
 
 def approx_tokens(text: Column) -> Column:
     """CJK characters, or 1.3 times the Latin words if that is more."""
     words = F.regexp_count(text, F.lit("[A-Za-z]+"))
-    return F.greatest(F.regexp_count(text, F.lit(CJK_PATTERN)), F.floor(words * F.lit(13) / F.lit(10))).cast("int")
+    return F.greatest(count_chars(text, "[^一-鿿]+"), F.floor(words * F.lit(13) / F.lit(10))).cast("int")
 
 
 def html_strip(html: Column) -> Column:

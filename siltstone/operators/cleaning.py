@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import md5_int60
-from ..functions.python import shingles
+from ..functions.python import minhash_of, word_grams
 from ..functions.text import lines, stripped
 from ..functions.vectors import signature_similarity
+from .lineage import cut
 
 PERMUTATIONS, BANDS = 64, 16
-MERSENNE = (1 << 61) - 1
+#: Repeated lines, and checksums of word runs, that are sent to every task; more are met by joins.
+LINES_AT_HAND, GRAMS_AT_HAND = 1_000, 1_000_000
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int = 3, max_len: int = 60, ratio: float = 0.5) -> DataFrame:
@@ -26,11 +25,21 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int =
 
 
 def strip_lines(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs' (id, text) without the repeated lines, by an anti join on exploded lines."""
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(lines(F.col(text_col))).alias("pos", "raw")).withColumn("line", stripped(F.col("raw")))
-    kept = rows.join(repeated.select("line"), "line", "left_anti")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "\n")
-    return docs.select(F.col(id_col).alias("id")).join(kept.groupBy("id").agg(text.alias("text")), "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
+    """docs' (id, text) without the repeated lines.
+
+    Up to LINES_AT_HAND of them go to every task, and the texts stay where they are; more are met by a join on the
+    distinct short lines of each text, and only what is found travels."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    longest = repeated.agg(F.coalesce(F.max(F.char_length("line")), F.lit(0)).alias("longest"), F.count("*").alias("n")).first()
+    if longest["n"] <= LINES_AT_HAND:
+        gone = repeated.agg(F.collect_list("line").alias("gone"))
+        met = rows.crossJoin(F.broadcast(gone))  # one row
+    else:
+        short = F.filter(F.array_distinct(F.transform(lines(F.col("text")), stripped)), lambda x: F.char_length(x).between(0, longest["longest"]))
+        found = rows.select("id", F.explode(short).alias("line")).join(repeated.select("line"), "line").groupBy("id").agg(F.collect_set("line").alias("gone"))
+        met = rows.join(found, "id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<string>")))
+    kept = F.filter(lines(F.col("text")), lambda x: ~F.array_contains("gone", stripped(x)))
+    return met.select("id", F.coalesce(F.array_join(kept, "\n"), F.lit("")).alias("text"))
 
 
 def exact_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,53 +47,36 @@ def exact_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.groupBy(F.sha2(F.col(text_col), 256).alias("digest")).agg(F.min(id_col).alias("first_id"), F.count("*").alias("n"))
 
 
-def minhash(grams: Column, permutations: int = PERMUTATIONS, hash_with: Callable[[Column], Column] | None = None) -> Column:
-    """MinHash signature of an array of shingles, in one projection.
-
-    By default two-argument xxhash64.  With hash_with (a 60-bit integer hash), the permutations are
-    (a x + b) mod 2^61 - 1, exact in decimals: portable to other engines, and slower.
-    """
-    if hash_with is None:
-        return F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda i: F.coalesce(F.array_min(F.transform(grams, lambda g: F.xxhash64(g, i))), F.lit(0)))
-    wide = F.transform(grams, lambda g: hash_with(g).cast("decimal(20,0)"))
-    made = []
-    for i in range(permutations):
-        a, b = (i * 2_654_435_761 + 1) | 1, i * 40_503 + 17
-        made.append(F.coalesce(F.array_min(F.transform(wide, _permutation(a, b))), F.lit(0)))
-    return F.array(*made)
-
-
-def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.85, bands: int = BANDS, permutations: int = PERMUTATIONS, k: int = 5, hash_with: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(later, earlier, similarity): an earlier document with a signature at least that similar.
+def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.85, bands: int = BANDS, permutations: int = PERMUTATIONS, k: int = 5) -> DataFrame:
+    """(later, earlier, similarity): pairs of documents whose signatures are at least that similar, between first documents, and each
+    other document with the first one of the same signature.
 
-    Equal texts are folded to their first document before the bands are joined, so a group of copies makes one
-    bucket entry; copies of it come back as pairs with that first document.
+    Documents of equal signatures are folded to the first before bands meet, so a group of copies makes one bucket entry.
+    Buckets carry ids alone; signatures are joined to the distinct candidates.  A text without a shingle is like no other.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"), F.col(text_col).alias("t"))
-    first = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("t").alias("t"))
-    signed = first.select("id", shingles(F.col("t"), k).alias("grams")).select("id", minhash(F.col("grams"), permutations, hash_with).alias("sig"))
-    rows = rows.drop("t")
+    signed = docs.select(F.col(id_col).alias("id"), minhash_of(F.col(text_col), permutations, k).alias("sig")).filter("sig is not null")
+    signed = cut(signed.withColumn("fold", F.sha2(F.array_join("sig", ","), 256)))
+    first = signed.groupBy("fold").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
     width = permutations // bands
-    banded = signed.select("id", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * width + 1, F.lit(width))))).alias("band", "bucket"))
-    a = banded.select(F.col("id").alias("later"), F.col("sig").alias("sig_a"), "band", "bucket")
-    b = banded.select(F.col("id").alias("earlier"), F.col("sig").alias("sig_b"), "band", "bucket")
-    near = a.join(b, ["band", "bucket"]).filter("earlier < later").select("later", "earlier", signature_similarity(F.col("sig_a"), F.col("sig_b")).alias("similarity")).filter(F.col("similarity") >= threshold).distinct()
-    copies = rows.join(first.select("digest", F.col("id").alias("earlier")), "digest").filter("earlier < id").select(F.col("id").alias("later"), "earlier", F.lit(1.0).alias("similarity"))
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * width + 1, F.lit(width))))
+    banded = first.select("id", F.explode(band).alias("bucket"))
+    a, b = banded.select(F.col("id").alias("later"), "bucket"), banded.select(F.col("id").alias("earlier"), "bucket")
+    candidates = a.join(b, "bucket").filter("earlier < later").select("later", "earlier").distinct()
+    sigs = first.select("id", "sig")
+    met = candidates.join(sigs.select(F.col("id").alias("later"), F.col("sig").alias("a")), "later").join(sigs.select(F.col("id").alias("earlier"), F.col("sig").alias("b")), "earlier")
+    near = met.select("later", "earlier", signature_similarity(F.col("a"), F.col("b")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    copies = signed.select("id", "fold").join(first.select("fold", F.col("id").alias("earlier")), "fold").filter("earlier < id").select(F.col("id").alias("later"), "earlier", F.lit(1.0).alias("similarity"))
     return near.unionByName(copies)
 
 
-def _permutation(a: int, b: int) -> Callable[[Column], Column]:
-    return lambda x: ((x * F.lit(a).cast("decimal(18,0)") + F.lit(b)) % F.lit(MERSENNE).cast("decimal(20,0)")).cast("long")
-
-
-def portable_minhash(grams: Column, permutations: int = PERMUTATIONS) -> Column:
-    return minhash(grams, permutations, md5_int60)
-
-
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, k: int = 8) -> DataFrame:
-    """(id, item_id, shared): documents that share k-word shingles with an item."""
-    a = docs.select(F.col(id_col).alias("id"), F.explode(shingles(F.col(text_col), k)).alias("gram"))
-    b = items.select(F.col(item_id).alias("item_id"), F.explode(shingles(F.col(item_text), k)).alias("gram"))
+    """(id, item_id, shared): documents that share runs of k words with an item.
+
+    Up to GRAMS_AT_HAND of the items' runs go to every task as checksums, and only runs that have one of those are shuffled."""
+    b = cut(items.select(F.col(item_id).alias("item_id"), F.explode(word_grams(F.col(item_text), k)).alias("gram")))
+    known = b.select(F.crc32(F.col("gram").cast("binary")).alias("c")).distinct().limit(GRAMS_AT_HAND + 1).collect()
+    among = frozenset(r["c"] for r in known) if len(known) <= GRAMS_AT_HAND else None
+    a = docs.select(F.col(id_col).alias("id"), F.explode(word_grams(F.col(text_col), k, among)).alias("gram"))
     return a.join(b, "gram").groupBy("id", "item_id").agg(F.count("*").alias("shared"))
 
 

@@ -27,11 +27,6 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: n documents and their average length in tokens."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("avgdl"))
-
-
 def top_k(scored: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
     """The k best rows of each group with their rank, ties by the tie column."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), F.asc(tie))
@@ -41,23 +36,27 @@ def top_k(scored: DataFrame, by: list[str], score: str, tie: str, k: int) -> Dat
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query", okapi: bool = False) -> DataFrame:
     """(query_id, id, score) of documents that share a term with the query; a query's repeated terms count again.
 
-    okapi: idf without the +1, where negative values become OKAPI_EPSILON times the average idf.
+    Only the queries' terms leave the scan: their list is sent to every task if it is measured small, else joined.
+    okapi: idf without the +1, where negative values become OKAPI_EPSILON times the average idf of all terms.
     """
-    stats = corpus_stats(docs, text_col)
-    post = postings(docs, id_col, text_col)
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))  # stats: one row
+    toks = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("toks"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    terms = asked.select("term").distinct()
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
+    rows = toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    post = rows.join(F.broadcast(terms) if size <= QUERY_BLOCK_BYTES else terms, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
+    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats: one row
     if okapi:
-        raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        df = df.withColumn("raw", raw)
-        mean = df.agg(F.avg("raw").alias("mean_idf"))
-        idf = df.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, OKAPI_EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+        raw = lambda d: F.log(F.col("n") - d + 0.5) - F.log(d + 0.5)
+        every = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        mean = every.crossJoin(F.broadcast(stats)).agg(F.avg(raw(F.col("df"))).alias("mean_idf"))
+        idf = df.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(raw(F.col("df")) < 0, OKAPI_EPSILON * F.col("mean_idf")).otherwise(raw(F.col("df"))).alias("idf"))
     else:
-        idf = df.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    need = asked.join(idf, "term")
+        idf = df.select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     tf, dl = F.col("tf"), F.col("dl")
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    scored = post.crossJoin(F.broadcast(stats.select("avgdl"))).join(need, "term").select("query_id", "id", (F.col("qtf") * weight).alias("w"))
+    scored = post.join(asked.join(idf, "term"), "term").select("query_id", "id", (F.col("qtf") * weight).alias("w"))
     return scored.groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
 

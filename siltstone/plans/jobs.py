@@ -13,6 +13,7 @@ from ..functions.security import output_verdict, parse_answer
 from ..functions.text import approx_tokens, quality_verdict, title_only
 from ..operators import chunking, cleaning, context, evaluation, retrieval, state
 from ..operators.governance import ROLE_LEVELS, SENSITIVITY_LEVELS, level_of
+from ..operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -37,35 +38,25 @@ class IngestResult:
     counts: DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the cluster's shared folder (spark.checkpoint.dir), or, where that is unset, a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='siltstone-')}")
-    return df.checkpoint()
-
-
 def ingest(listed: DataFrame, manifest: DataFrame, index: DataFrame, tenant: str, run_id: str, full_scan: bool = True, strategy: str = "layout", embedder: Callable | None = None, near_duplicates: float | None = 0.85) -> IngestResult:
     """One ingestion run over listed (source_id, change_key, text, sensitivity).
 
     Only new and changed rows are parsed, cleaned and embedded.  Rejected and near-duplicate documents are reconciled to no
     chunks; chunks whose id the index has are not embedded again; deletions follow only a full scan.
     """
-    diff = cut(state.manifest_diff(listed, manifest, full_scan))
-    work = cut(state.to_fetch(listed, diff).withColumn("clean", normalize(F.col("text"))))
+    diff = state.manifest_diff(listed, manifest, full_scan)
+    work = cut(state.to_fetch(listed, diff).withColumn("clean", normalize(F.col("text"))).drop("text"))
     repeated = cleaning.repeated_lines(work, "source_id", "clean")
-    stripped = cleaning.strip_lines(work.select("source_id", "clean"), repeated, "source_id", "clean").select(F.col("id").alias("source_id"), F.col("text").alias("body"))
-    judged = cut(cut(work.select("source_id", "sensitivity").join(stripped, "source_id")).withColumn("reason", quality_verdict(F.col("body"))))
+    stripped = cleaning.strip_lines(work, repeated, "source_id", "clean").select(F.col("id").alias("source_id"), F.col("text").alias("body"))
+    judged = cut(stripped.withColumn("reason", quality_verdict(F.col("body"))))
     dead = judged.filter("reason <> 'ok'").select("source_id", F.lit("quality").alias("stage"), F.col("reason").alias("error"))
-    good = judged.filter("reason = 'ok'")
+    good = judged.filter("reason = 'ok'").select("source_id", "body")
     if near_duplicates is not None:
         later = cleaning.near_duplicate_pairs(good, "source_id", "body", near_duplicates).select(F.col("later").alias("source_id")).distinct()
         good = good.join(later, "source_id", "left_anti")
-    safe = cut(good.withColumn("body", redact_for_index(F.col("body"))))
-    pieces = cut(chunking.split(safe, strategy, "source_id", "body").filter(quality_verdict(F.col("text"), 15) == "ok"))
-    chunks = cut(chunking.with_identity(pieces).join(safe.select("source_id", "sensitivity"), "source_id").withColumn("tenant_id", F.lit(tenant)))
+    safe = good.withColumn("body", redact_for_index(F.col("body")))
+    pieces = chunking.split(safe, strategy, "source_id", "body").filter(quality_verdict(F.col("text"), 15) == "ok")
+    chunks = cut(chunking.with_identity(pieces).join(work.select("source_id", "sensitivity"), "source_id").withColumn("tenant_id", F.lit(tenant)))
     fresh = state.new_only(chunks, index)
     made = fresh.withColumn("embedding", embed_with(embedder or hash_embedder(), F.col("text"))).select(*index.columns)
     touched = work.select("source_id").union(diff.filter("change_type = 'deleted'").select("source_id"))
