@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .functions import ids, python, security, text
 from .operators import chunking, cleaning, context, evaluation, governance, graph, retrieval, state
+from .operators.lineage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Tables of texts and the column by which small ones are spread.
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
@@ -38,7 +41,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, _TEXTS[name]) if name in _TEXTS else df
 
 
 _TOKENS = "regexp_extract_all({0}, '[A-Za-z]+|[0-9]+|[一-鿿]')"

@@ -51,29 +51,35 @@ def shingles(text: Column, k: int = 5) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: shingle_list(t, k))
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else filters on the result would run it again
 
 
 _M61 = (1 << 61) - 1
 
 
 def _shifted(v: np.ndarray, k: int) -> np.ndarray:
-    """v * 2**k modulo 2**61 - 1, for v below 2**61: a rotation of 61 bits."""
-    return (v << np.uint64(k)) & np.uint64(_M61) | v >> np.uint64(61 - k)
+    """v * 2**k modulo 2**61 - 1, for v below 2**61: a rotation of 61 bits, in place."""
+    high = v >> np.uint64(61 - k)
+    v <<= np.uint64(k)
+    v &= np.uint64(_M61)
+    v |= high
+    return v
 
 
 def min_hashes(x: np.ndarray, permutations: int) -> np.ndarray:
     """The least (a x + b) mod 2**61 - 1 over 60-bit numbers x, for each of the permutations a = (i * 2654435761 + 1) | 1, b = i * 40503 + 17."""
     i = np.arange(permutations, dtype=np.uint64)[:, None]
     a, b = i * np.uint64(2_654_435_761) + np.uint64(1) | np.uint64(1), i * np.uint64(40_503) + np.uint64(17)
-    low = np.uint64((1 << 20) - 1)
+    low, prime = np.uint64((1 << 20) - 1), np.uint64(_M61)
     best = np.full(permutations, np.iinfo(np.uint64).max)
-    for at in range(0, len(x), 4096):
-        part = x[None, at : at + 4096]
-        total = a * (part & low) + _shifted(a * (part >> np.uint64(20) & low), 20) + _shifted(a * (part >> np.uint64(40)), 40) + b
-        total = (total & np.uint64(_M61)) + (total >> np.uint64(61))
-        total[total >= np.uint64(_M61)] -= np.uint64(_M61)
-        best = np.minimum(best, total.min(axis=1))
+    for at in range(0, len(x), 128):  # small tables stay in cache
+        part = x[None, at : at + 128]
+        total = a * (part & low)
+        total += _shifted(a * (part >> np.uint64(20) & low), 20)
+        total += _shifted(a * (part >> np.uint64(40)), 40)
+        total += b
+        total = (total & prime) + (total >> np.uint64(61))
+        np.minimum(best, np.minimum(total, total - prime).min(axis=1), out=best)  # below zero wraps around, and so loses
     return best.astype(np.int64)
 
 
@@ -88,7 +94,7 @@ def minhash_of(text: Column, permutations: int = 64, k: int = 5) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(one)
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else filters on the result would run it again
 
 
 def word_grams(text: Column, k: int, among: frozenset[int] | None = None) -> Column:
@@ -99,7 +105,7 @@ def word_grams(text: Column, k: int, among: frozenset[int] | None = None) -> Col
         made = s.map(lambda t: _grams(_LOWER_WORD.findall((t or "").lower()), k, " "))
         return made if among is None else made.map(lambda gs: [g for g in gs if zlib.crc32(g.encode()) in among])
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else filters on the result would run it again
 
 
 _CJK, _LATIN, _LOWER_WORD = re.compile("[一-鿿]"), re.compile("[A-Za-z]"), re.compile("[a-z0-9]+")
@@ -174,10 +180,13 @@ def redact_for_trace(text: Column, max_len: int = 200) -> Column:
 
 
 @pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("type", StringType())])))
-def pii_spans(text: pd.Series) -> pd.Series:
+def _pii_spans(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": a, "end": b, "type": k} for a, b, k in find_pii(t)] if t is not None else None)
 
 
+pii_spans = _pii_spans.asNondeterministic()
+
+
 @pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two strings."""

@@ -18,7 +18,7 @@ LINES_AT_HAND, GRAMS_AT_HAND = 1_000, 1_000_000
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int = 3, max_len: int = 60, ratio: float = 0.5) -> DataFrame:
     """(line, n_docs): short lines found in many documents."""
     total = docs.agg(F.count("*").alias("total"))
-    found = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(lines(F.col(text_col)), stripped))).alias("line")).filter(F.char_length("line").between(1, max_len))
+    found = docs.select(F.col(id_col).alias("id"), F.explode_outer(F.array_distinct(F.transform(lines(F.col(text_col)), stripped))).alias("line")).filter(F.char_length("line").between(1, max_len))
     counts = found.groupBy("line").agg(F.count("*").alias("n_docs"))
     least = F.greatest(F.lit(min_docs), F.floor(F.col("total") * ratio))
     return counts.crossJoin(F.broadcast(total)).filter(F.col("n_docs") >= least).select("line", "n_docs")

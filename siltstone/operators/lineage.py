@@ -20,3 +20,10 @@ def cut(df: DataFrame) -> DataFrame:
             folder = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt to all cores if it has fewer partitions than those: work that is heavy for each row isn't left to the few tasks
+    that one small file makes.  Tables of more partitions, and so all large ones, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -23,8 +23,8 @@ QUERY_BLOCK_BYTES = 32 << 20
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf, dl): case-sensitive tokens; dl counts all tokens of the document."""
     toks = tokens(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), toks.alias("toks")).select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    rows = docs.select(F.col(id_col).alias("id"), toks.alias("toks")).select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))  # outer: no filter that tokenises again
+    return rows.filter("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def top_k(scored: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -41,22 +41,23 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tex
     """
     toks = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("toks"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
-    rows = toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    post = rows.join(F.broadcast(terms) if size <= QUERY_BLOCK_BYTES else terms, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 56), F.lit(0))).first()[0]
+    small = F.broadcast if size <= QUERY_BLOCK_BYTES else lambda x: x
+    rows = toks.select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    # dealt by document alone, so that neither counting nor summing needs another shuffle
+    post = rows.repartition("id").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
     df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats: one row
     if okapi:
         raw = lambda d: F.log(F.col("n") - d + 0.5) - F.log(d + 0.5)
-        every = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        every = toks.select(F.explode_outer(F.array_distinct("toks")).alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
         mean = every.crossJoin(F.broadcast(stats)).agg(F.avg(raw(F.col("df"))).alias("mean_idf"))
         idf = df.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(raw(F.col("df")) < 0, OKAPI_EPSILON * F.col("mean_idf")).otherwise(raw(F.col("df"))).alias("idf"))
     else:
         idf = df.select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     tf, dl = F.col("tf"), F.col("dl")
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    scored = post.join(asked.join(idf, "term"), "term").select("query_id", "id", (F.col("qtf") * weight).alias("w"))
+    scored = post.join(small(asked.join(idf, "term")), "term").select("query_id", "id", (F.col("qtf") * weight).alias("w"))
     return scored.groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
 
@@ -103,7 +104,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, top: int = 5, dense_k:
 def keyword_top(docs: DataFrame, id_col: str, text_col: str, stops: tuple[str, ...], k: int = 5) -> DataFrame:
     """(id, term, n, rank): the most frequent words of three letters or more, ties by first place."""
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]{3,}"), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(words).alias("pos", "term")).filter(~F.col("term").isin(*stops))
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(words).alias("pos", "term")).filter(~F.col("term").isin(*stops))
     counts = rows.groupBy("id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     w = Window.partitionBy("id").orderBy(F.desc("n"), F.asc("first"))
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "term", "n", "rank")
