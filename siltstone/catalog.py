@@ -33,10 +33,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_answers  # noqa: F401  (it adds its own)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
@@ -167,12 +170,12 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.exact_copies(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_ALL_MIN = ", ".join(f"list_min(list_transform(h, lambda x: (x * {(i * 2_654_435_761 + 1) | 1}::HUGEINT + {i * 40_503 + 17}) % 2305843009213693951::HUGEINT))::BIGINT" for i in range(64))
+_ALL_MIN = ", ".join(f"min((h * {(i * 2_654_435_761 + 1) | 1}::HUGEINT + {i * 40_503 + 17}) % 2305843009213693951::HUGEINT)::BIGINT" for i in range(64))
 _SIGNED = f"""u as (select doc_id, coalesce(text, '') as t, len(regexp_extract_all(coalesce(text, ''), '[一-鿿]')) as cjk, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) as latin from documents),
 w as (select doc_id, case when cjk + latin >= 5 and cjk / (cjk + latin) <= 0.1 then regexp_extract_all(lower(t), '[a-z0-9]+') else regexp_extract_all(case when cjk + latin >= 5 then regexp_replace(t, '\\s+', '', 'g') else lower(t) end, '(?s).') end as w, case when cjk + latin >= 5 and cjk / (cjk + latin) <= 0.1 then ' ' else '' end as glue from u),
-g as (select doc_id, list_distinct(case when glue = ' ' then list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' ')) else list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], '')) end) as g from w where len(w) > 0),
-h as (select doc_id, list_transform(g, lambda x: ('0x' || substr(md5(x), 1, 15))::HUGEINT) as h from g),
-sig as (select doc_id as id, [{_ALL_MIN}] as s from h)"""
+g as (select doc_id, unnest(case when glue = ' ' then list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' ')) else list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], '')) end) as g from w where len(w) > 0),
+h as (select doc_id, ('0x' || substr(md5(g), 1, 15))::HUGEINT as h from g),
+sig as (select doc_id as id, [{_ALL_MIN}] as s from h group by doc_id)"""
 
 
 @query(f"""with {_SIGNED}, f as (select s, min(id) as id from sig group by s),
@@ -185,13 +188,6 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.near_duplicate_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(f"with {_SIGNED} select id as doc_id, md5(array_to_string(s, ',')) as digest from sig")
-def minhash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 64 minima of every document."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", python.minhash_of(F.col("text")).alias("s")).filter("s is not null")
-    return rows.select("doc_id", F.md5(F.array_join("s", ",")).alias("digest"))
-
-
 _MIN = ", ".join(f"list_min(list_transform(h, lambda x: (x * {(i * 2_654_435_761 + 1) | 1}::HUGEINT + {i * 40_503 + 17}) % 2305843009213693951::HUGEINT))::BIGINT" for i in range(4))
 
 

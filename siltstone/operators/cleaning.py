@@ -69,6 +69,13 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, threshold:
     return near.unionByName(copies)
 
 
+def band_table(signed: DataFrame, id_col: str, bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:
+    """(id, band, bucket) of signatures (a column sig): kept between runs, it lets new documents meet old ones."""
+    width = permutations // bands
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.md5(F.array_join(F.slice("sig", i * width + 1, F.lit(width)), ",")))
+    return signed.select(id_col, F.posexplode(keys).alias("band", "bucket"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, k: int = 8) -> DataFrame:
     """(id, item_id, shared): documents that share runs of k words with an item.
 

@@ -25,6 +25,17 @@ def answer_flags(results: DataFrame) -> DataFrame:
     })
 
 
+def question_scores(results: DataFrame, retrieved: str = "retrieved", relevant: str = "relevant") -> DataFrame:
+    """results with retrieval_recall, retrieval_correct (all expected came) and hit; nothing expected is right only if nothing came."""
+    got, want = F.array_distinct(retrieved), F.array_distinct(relevant)
+    common, none = F.size(F.array_intersect(got, want)), F.size(want) == 0
+    return results.withColumns({
+        "retrieval_recall": F.when(none, (F.size(got) == 0).cast("double")).otherwise(common / F.size(want)),
+        "retrieval_correct": F.when(none, F.size(got) == 0).otherwise(common == F.size(want)),
+        "hit": common > 0,
+    })
+
+
 def by_slice(scored: DataFrame, slice_col: str, columns: list[str], digits: int = 4) -> DataFrame:
     """Means by slice and overall (slice null) in one pass."""
     grouped = scored.groupingSets([[F.col(slice_col)], []], F.col(slice_col))

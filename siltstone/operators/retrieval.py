@@ -8,16 +8,21 @@ Catalyst's own size threshold.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import cosine, norm
+from ..functions.vectors import cosine
 
 K1, B = 1.5, 0.75
 OKAPI_EPSILON = 0.25
 #: Bytes of query vectors that are broadcast at once.
 QUERY_BLOCK_BYTES = 32 << 20
+#: Vectors in a tile of the full comparison.
+TILE_ROWS = 2_000
+#: Digits to which scores are rounded before they are ranked, so that equal texts tie.
+RANKED_DIGITS = 6
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,11 +83,31 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, where: Column | None =
     return out
 
 
-def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs a < b whose cosine reaches `least`: the exact full comparison, for tables of bounded size."""
-    units = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
-    a, b = units.select(F.col("id").alias("a"), F.col("v").alias("va")), units.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", cosine(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") >= least)
+def similar_pairs(vectors: DataFrame, least: float, digits: int = 6, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b, score) of all pairs a < b whose rounded cosine reaches `least`: exact, by products of tiles of bounded size.
+
+    Rows are dealt to tiles; each pair of tiles is one group, so a row travels once for each tile, and no task holds more
+    than two tiles.  Vectors of zero length are like nothing; ids are integers."""
+    import numpy as np
+
+    units = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).filter("id is not null and v is not null")
+    tiles = max(1, -(-units.count() // tile_rows))
+    own = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda t: F.least(t, F.col("tile")) * tiles + F.greatest(t, F.col("tile")))
+    dealt = units.withColumn("tile", own).select("id", "v", "tile", F.explode(met).alias("pair"))
+
+    def compare(key, table):
+        first, second = divmod(key[0].as_py(), tiles)
+        tile, ids = table.column("tile").to_numpy(), table.column("id").to_numpy()
+        v = np.array(table.column("v").to_pylist())
+        v = v / (np.sqrt((v * v).sum(axis=1))[:, None] + 1e-9)
+        x, y = np.flatnonzero(tile == first), np.flatnonzero(tile == second)
+        score = np.round(v[x] @ v[y].T, digits)
+        i, j = np.nonzero((score >= least) & ((ids[x][:, None] < ids[y][None, :]) if first == second else True))
+        left, right = ids[x[i]], ids[y[j]]
+        return pa.table({"a": np.minimum(left, right), "b": np.maximum(left, right), "score": score[i, j]})
+
+    return dealt.groupBy("pair").applyInArrow(compare, "a long, b long, score double")
 
 
 def reciprocal_rank_fusion(*rankings: tuple[DataFrame, float], k: int = 60) -> DataFrame:
@@ -96,9 +121,10 @@ def reciprocal_rank_fusion(*rankings: tuple[DataFrame, float], k: int = 60) -> D
 
 def hybrid_search(chunks: DataFrame, queries: DataFrame, top: int = 5, dense_k: int = 64, sparse_k: int = 32, sparse_weight: float = 2.0) -> DataFrame:
     """(query_id, id, rank, score): dense and BM25 rankings fused.  chunks: id, text, v; queries: query_id, query, q."""
-    dense = top_k(cosine_scores(chunks.select("id", "v"), queries.select("query_id", "q")), ["query_id"], "score", "id", dense_k)
-    sparse = top_k(bm25_scores(chunks, queries, "id", "text"), ["query_id"], "score", "id", sparse_k)
-    return top_k(reciprocal_rank_fusion((dense, 1.0), (sparse, sparse_weight)), ["query_id"], "score", "id", top)
+    rounded = lambda df, digits: df.withColumn("score", F.bround("score", digits))
+    dense = top_k(rounded(cosine_scores(chunks.select("id", "v"), queries.select("query_id", "q")), RANKED_DIGITS), ["query_id"], "score", "id", dense_k)
+    sparse = top_k(rounded(bm25_scores(chunks, queries, "id", "text"), RANKED_DIGITS), ["query_id"], "score", "id", sparse_k)
+    return top_k(rounded(reciprocal_rank_fusion((dense, 1.0), (sparse, sparse_weight)), 9), ["query_id"], "score", "id", top)
 
 
 def keyword_top(docs: DataFrame, id_col: str, text_col: str, stops: tuple[str, ...], k: int = 5) -> DataFrame:
@@ -125,7 +151,3 @@ def sign_bucket(v: Column, normals: list[list[float]]) -> Column:
         side = F.aggregate(F.zip_with(v, weights, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x) >= 0
         out = out + F.when(side, 1 << i).otherwise(0)
     return out
-
-
-def has_dimension(v: Column, dim: int) -> Column:
-    return (F.size(v) == dim) & (norm(v) >= 0)

@@ -68,6 +68,14 @@ def ingest(listed: DataFrame, manifest: DataFrame, index: DataFrame, tenant: str
     return IngestResult(kept.unionByName(made), after, dead, state.change_counts(diff))
 
 
+def write_run(result: IngestResult, path: str, run_id: str) -> None:
+    """Append a run's dead letters and its report (counts of changes, dead letters, chunks) as JSON lines, by run."""
+    result.dead_letters.withColumn("run_id", F.lit(run_id)).write.mode("append").json(f"{path}/dead_letters")
+    changes = result.counts.agg(*[F.coalesce(F.sum(F.when(F.col("change_type") == c, F.col("n"))), F.lit(0)).alias(c) for c in (state.NEW, state.CHANGED, state.UNCHANGED, state.DELETED)])
+    lost, chunks = result.dead_letters.agg(F.count("*").alias("dead_letters")), result.index.agg(F.count("*").alias("chunks"))
+    changes.crossJoin(lost).crossJoin(chunks).withColumn("run_id", F.lit(run_id)).write.mode("append").json(f"{path}/reports")  # one row each
+
+
 def answer(session: Session, chunks: DataFrame, questions: DataFrame, model: Callable, embedder: Callable | None = None, top: int = 5, budget: int = 2000, cap: int = 3) -> DataFrame:
     """One row per question (query_id, query): answer, citations, abstained, reason, retrieved chunk ids.
 
