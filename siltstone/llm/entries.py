@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import spread
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .htmlextract import extract_pages
 
-    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_pages(spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id"))
 
 
 def op3_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,7 +165,7 @@ def fit_votes(counts: dict[int, int], n_rules: int, rounds: int = 200) -> dict[i
         for c, w, hit in ((0, posterior * n, agrees), (1, (1 - posterior) * n, spoke - agrees)):
             right[c] = np.clip((w @ hit + 8 * START) / (w @ spoke + 8), *RANGE[c])
         share = float(np.clip(((posterior * n).sum() + 8 * START_SHARE) / (n.sum() + 8), *SHARE_RANGE))
-    return {int(p): float(x) for p, x in zip(patterns, posterior, strict=True) if not math.isnan(x)}
+    return {int(p): START_SHARE if math.isnan(x) else float(x) for p, x in zip(patterns, posterior, strict=True)}
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -182,4 +182,4 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posterior = fit_votes(counts, len(RULES))
     table = docs.sparkSession.createDataFrame(list(posterior.items()), "votes int, posterior double")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return found.join(F.broadcast(table), "votes").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).select("doc_id", *MEASURES, "base_failed", "votes", "posterior", "kept")
+    return found.join(F.broadcast(table), "votes", "left").withColumn("posterior", F.coalesce("posterior", F.lit(START_SHARE))).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).select("doc_id", *MEASURES, "base_failed", "votes", "posterior", "kept")

@@ -12,13 +12,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one of this machine."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one of this machine for a local master, else an error."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         jvm = sc._jsc.sc().getCheckpointDir()
         if jvm.isDefined():
             return jvm.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         sc.setCheckpointDir(folder)
         return sc._jsc.sc().getCheckpointDir().get()
