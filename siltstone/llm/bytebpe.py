@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Encoded pieces kept by a worker; beyond it the table is started anew.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 200_000
 #: Pieces longer than this are not kept.
 CACHE_LENGTH = 64
 _NONE = 1 << 60

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 SAMPLE_PER_CLASS, SAMPLE_TEXT, CLASSES = 300, 20_000, 64
 LANDMARKS_PER_CLASS = 16
 #: Cells of the presence rows of texts that are multiplied at once.
-BATCH_CELLS = 1 << 24
+BATCH_CELLS = 1 << 22
 SALTS = 32
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -38,7 +38,7 @@ _table: list[np.ndarray] = []
 
 def _symbol_table() -> np.ndarray:
     """The symbol of every code point: letters and marks stand for themselves."""
-    table = np.zeros(0x110000, np.uint64)
+    table = np.zeros(0x110000, np.uint32)
     for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha() or unicodedata.category(ch)[0] == "M":
@@ -52,7 +52,7 @@ def gram_set(text: str) -> np.ndarray:
     """The distinct 1-, 2- and 3-grams of a text's symbols, sorted; a gram is its code points side by side, so none is taken for another."""
     if not _table:
         _table.append(_symbol_table())
-    s = _table[0][np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    s = _table[0][np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.uint64)
     if not len(s):
         return s
     keep = np.ones(len(s), bool)
@@ -71,6 +71,16 @@ class KernelModel:
 
     def __init__(self, classes, codes, present, sizes, weights):
         self.classes, self.codes, self.present, self.sizes, self.weights = classes, codes, present, sizes, weights
+        self._factor: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_factor": None}
+
+    def factor(self) -> np.ndarray:
+        """The landmarks' presence as a matrix of numbers, made where it is used: sent are single bytes."""
+        if self._factor is None:
+            self._factor = self.present.astype(np.float32)
+        return self._factor
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], per_class: int = LANDMARKS_PER_CLASS, ridge: float = RIDGE) -> KernelModel:
@@ -83,7 +93,7 @@ class KernelModel:
             chosen += middle
         sets = [gram_set(texts[i]) for i in chosen]
         codes = np.unique(np.concatenate(sets))
-        present = np.zeros((len(codes), len(chosen)), np.float32)
+        present = np.zeros((len(codes), len(chosen)), np.uint8)
         for k, own in enumerate(sets):
             present[np.searchsorted(codes, own), k] = 1
         sizes = np.array([max(1, len(own)) for own in sets], float)
@@ -114,7 +124,7 @@ class KernelModel:
                 size[i] = max(1, len(own))
                 place = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
                 rows[i, place[self.codes[place] == own]] = 1
-            out[at : at + len(part)] = (rows[: len(part)] @ self.present) / np.sqrt(size[:, None] * self.sizes[None, :])
+            out[at : at + len(part)] = (rows[: len(part)] @ self.factor()) / np.sqrt(size[:, None] * self.sizes[None, :])
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -138,7 +148,7 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     keys = order.select("lang", "h", "at").collect()  # per_class for each language at most
     classes = len({r["lang"] for r in keys})
     if not classes:
-        return KernelModel([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0), np.float32))
+        return KernelModel([], np.zeros(0, np.uint64), np.zeros((0, 0), np.uint8), np.zeros(0), np.zeros((0, 0), np.float32))
     most, landmarks = (max(1, min(each, CLASSES * each // classes)) for each in (per_class, LANDMARKS_PER_CLASS))
     wanted = labelled.sparkSession.createDataFrame([(r["lang"], r["h"], r["at"]) for r in keys if r["at"] <= most], "lang string, h long, at int")
     drawn = rows.join(F.broadcast(wanted), ["lang", "h"]).dropDuplicates(["lang", "h"]).collect()
