@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Encoded pieces kept by a worker; beyond it the table is started anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 800_000
 #: Pieces longer than this are not kept.
 CACHE_LENGTH = 64
 _NONE = 1 << 60
@@ -31,7 +31,7 @@ _NONE = 1 << 60
 class ByteBPE:
     """ranks: token bytes -> id.  Every single byte must be a token."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept_pieces: int = CACHE_PIECES):
         import regex
 
         missing = [b for b in range(256) if bytes([b]) not in ranks]
@@ -40,7 +40,7 @@ class ByteBPE:
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.kept = _Kept(self)
+        self.kept, self.kept_pieces = _Kept(self), kept_pieces
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -100,7 +100,7 @@ class ByteBPE:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         kept = self.kept
         out = b"".join(map(kept.__getitem__, self.split(text)))
-        if len(kept) > CACHE_PIECES:
+        if len(kept) > self.kept_pieces:
             kept.clear()
         return out
 
@@ -145,24 +145,25 @@ def parse_ranks(packed: bytes) -> dict[bytes, int]:
     return {base64.b64decode(x[0]): int(x[1]) for x in lines if x}
 
 
-_loaded: dict[tuple[bytes, str], ByteBPE] = {}
+_loaded: dict[tuple[bytes, str, int], ByteBPE] = {}
 
 
-def _loaded_bpe(packed: bytes, pattern: str) -> ByteBPE:
-    key = (hashlib.sha256(packed).digest(), pattern)
+def _loaded_bpe(packed: bytes, pattern: str, kept_pieces: int) -> ByteBPE:
+    key = (hashlib.sha256(packed).digest(), pattern, kept_pieces)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = ByteBPE(parse_ranks(packed), pattern)
+        _loaded[key] = ByteBPE(parse_ranks(packed), pattern, kept_pieces)
     return _loaded[key]
 
 
 _FIELDS = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), kept_pieces: int = CACHE_PIECES) -> DataFrame:
     """One row per row of docs: doc_id and the outputs asked for.
 
     outputs: of n_tokens, ids, decoded (bytes made from the ids), ids_sha256 and decoded_sha256.
+    kept_pieces bounds what a worker remembers; it changes no result.
     Null and empty texts have no tokens.  Texts are never cut.  Repeated rows give repeated
     results; other columns of docs are ignored.
     """
@@ -172,7 +173,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     fields = [_FIELDS[x] for x in outputs]
 
     def run(batches):
-        bpe = _loaded_bpe(packed, pattern)
+        bpe = _loaded_bpe(packed, pattern, kept_pieces)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
