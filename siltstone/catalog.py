@@ -565,21 +565,11 @@ def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.compare_runs(a, b).select("metric", F.bround("a", 4).alias("a"), F.bround("b", 4).alias("b"), "winner")
 
 
-@query(f"""with recursive {_VEC}, v20 as (select id, v from v where id % 20 = 0), s as (select a.id as src, b.id as dst, {_COS} as score from v20 a, v20 b where a.id <> b.id),
+@query(f"""with recursive {_VEC}, s as (select a.query_id as src, b.id as dst, {_COS} as score from q a, v b where b.id <> a.query_id),
 e0 as (select src, dst from (select *, row_number() over (partition by src order by score desc, dst) as rank from s) where rank <= 2),
 e as (select src, dst from e0 union select dst, src from e0),
-w(start, node, depth) as (select id, id, 0 from v20 where id % 200 = 0 union select w.start, e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 3)
+w(start, node, depth) as (select query_id, query_id, 0 from q union select w.start, e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 3)
 select start, node, min(depth)::INTEGER as depth from w group by start, node""")
-def bfs_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes within three hops in the graph of two nearest neighbours among every twentieth vector."""
-    scored = _cosine_queries(spark, sf_dir).filter("id <> query_id and id % 20 = 0")
-    e0 = retrieval.top_k(scored, ["query_id"], "score", "id", 2).select(F.col("query_id").alias("src"), F.col("id").alias("dst")).persist()
-    edges = e0.union(e0.select("dst", "src")).distinct()
-    starts = scored.select(F.col("query_id").alias("node")).filter("node % 200 = 0").distinct()
-    return graph.within_hops(edges, starts, 3)
-
-
-@query()
 def bfs_neighbourhood_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes within three hops of every twentieth vector, in the graph of their two nearest neighbours among all vectors."""
     scored = _cosine_queries(spark, sf_dir).filter("id <> query_id")

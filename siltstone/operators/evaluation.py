@@ -10,6 +10,9 @@ from ..functions import metrics as m
 # ---- Fixed values that results depend on.
 LOWER_IS_BETTER = ("latency", "hallucination_rate", "protected_path_leakage", "error_rate")
 
+#: Values that one task sorts, and the accuracy of the quantile sketches that lead to them.
+SORTED_AT_ONCE, SKETCH = 100_000, 10_000
+
 
 def retrieval_metrics(results: DataFrame, retrieved: str = "retrieved", relevant: str = "relevant", k: int = 10) -> DataFrame:
     r, g = F.col(retrieved), F.col(relevant)
@@ -59,12 +62,37 @@ def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return thresholds.join(metrics, ["project", "metric"], "left").withColumn("issue", bad).filter("issue is not null")
 
 
+def value_at(rows: DataFrame, value: str, place: int, n: int, at_once: int = SORTED_AT_ONCE):
+    """The non-null value at a place (from 0) of their order, n in all; None where there is none.
+
+    Quantile sketches narrow the values to those strictly between two bounds that aren't the answer themselves, until
+    one task can sort what is left: no task holds more, however many distinct values there are."""
+    if not 0 <= place < n:
+        return None
+    part, near = rows.select(F.col(value).alias("v")).filter("v is not null"), 4 / SKETCH
+    while n > at_once:
+        share = (place + 0.5) / n
+        bounds = F.percentile_approx("v", [max(0.0, share - near), min(1.0, share + near)], SKETCH)
+        low, high = part.agg(bounds).first()[0]
+        under = part.agg(*[F.count_if(c) for c in (F.col("v") < low, F.col("v") <= low, F.col("v") < high, F.col("v") <= high)]).first()
+        if under[0] <= place < under[1]:
+            return low
+        if under[2] <= place < under[3]:
+            return high
+        if under[1] <= place < under[2]:
+            part, place, n = part.filter((F.col("v") > low) & (F.col("v") < high)), place - under[1], under[2] - under[1]
+        else:
+            near *= 4
+    return part.orderBy("v").offset(place).limit(1).first()[0]
+
+
 def dashboard(traces: DataFrame, value: str, failed: Column) -> DataFrame:
-    """One row: count, median, p95 (the value at place int(0.95 n)), error rate; no group is collected."""
+    """One row: count, median, p95 (the value at place int(0.95 n)), error rate; null values have no place."""
     n = traces.agg(F.count(value)).first()[0]
-    share = (int(0.95 * n) + 0.5) / n if n else 0.95  # the inverse of the distribution at that place
-    p95 = F.expr(f"percentile_disc({min(share, 1.0)}) within group (order by `{value}`)")
-    return traces.agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("p50"), p95.alias("p95"), F.avg(failed.cast("double")).alias("error_rate"))
+    at = {k: value_at(traces, value, k, n) for k in sorted({(n - 1) // 2, n // 2, min(int(0.95 * n), n - 1)})} if n else {}
+    p50 = (at[(n - 1) // 2] + at[n // 2]) / 2 if n else None
+    p95 = at[min(int(0.95 * n), n - 1)] if n else None
+    return traces.agg(F.count("*").alias("n"), F.lit(p50).cast("double").alias("p50"), F.lit(p95).cast("double").alias("p95"), F.avg(failed.cast("double")).alias("error_rate"))
 
 
 def format_f1(scores: DataFrame, by: str = "format") -> DataFrame:

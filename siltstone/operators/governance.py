@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,26 +70,50 @@ def usage_last_day(events: DataFrame, key: str, ts: str, amount: str) -> DataFra
     return events.withColumn("used_24h", F.sum(amount).over(w))
 
 
+def folded(rows: DataFrame, order: list[Column], start: Callable[[], Callable], flag: str) -> DataFrame:
+    """rows with a boolean from a fold over each key's rows in order.
+
+    start() gives a key's step: it takes a row's values besides the key and returns the flag.  Sorted partitions stream
+    through, so memory holds a batch and one key's state, however many rows a key has; null keys are one key."""
+    inputs = [c for c in rows.columns if c != "key"]
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + f", {flag} boolean"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, step = None, None
+        for frame in frames:
+            out = []
+            for k, *x in zip(frame["key"], *(frame[c] for c in inputs), strict=True):
+                if step is None or k != last:
+                    last, step = k, start()
+                out.append(step(*x))
+            yield frame.assign(**{flag: pd.array(out, dtype="boolean")})
+
+    return rows.repartition("key").sortWithinPartitions("key", *order).mapInPandas(run, schema)
+
+
 def admit(events: DataFrame, limit: float, key: str = "key", ts: str = "ts", amount: str = "amount") -> DataFrame:
-    """Events with `admitted`: rejected events don't count against later ones, so admission is a fold over each key's events."""
+    """Events with `admitted`: rejected events don't count against later ones, so admission is a fold over each key's events.
+
+    A key's state is its admitted events of the last day.  Without an amount an event isn't admitted; without a time it comes last."""
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(amount).cast("double").alias("amount"))
+    day = pd.Timedelta(days=1)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
+    def start() -> Callable:
+        window, used = deque(), 0.0
 
-        group = group.sort_values(["ts", "amount"], kind="stable")
-        window, used, out = deque(), 0.0, []
-        for at, x in zip(group["ts"], group["amount"], strict=True):
-            while window and window[0][0] < at - pd.Timedelta(days=1):
+        def step(at: pd.Timestamp, x: float) -> bool:
+            nonlocal used
+            while window and window[0][0] < at - day:
                 used -= window.popleft()[1]
-            ok = used + x <= limit
+            ok = bool(used + x <= limit)
             if ok:
                 window.append((at, x))
                 used += x
-            out.append(ok)
-        return group.assign(admitted=out)
+            return ok
+
+        return step
 
-    return rows.groupBy("key").applyInPandas(fold, "key string, ts timestamp, amount double, admitted boolean")
+    return folded(rows, [F.asc_nulls_last("ts"), F.asc_nulls_last("amount")], start, "admitted")
 
 
 def audit_events(calls: DataFrame, salt: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.governance import folded
+
 DAY_MS = 86_400_000
 
 
@@ -64,18 +66,21 @@ def sessions(events: DataFrame, ts: str, by: list[str], gap: str, late: str = "1
 
 
 def token_bucket(events: DataFrame, capacity: float, per_second: float, key: str = "key", ts: str = "ts") -> DataFrame:
-    """Batch rate limiting: each key's bucket refills with time, an event needs one token."""
+    """Batch rate limiting: each key's bucket refills with time, an event needs one token; one without a time comes last and refills nothing."""
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ts", kind="stable")
-        level, last, out = capacity, None, []
-        for at in group["ts"]:
-            if last is not None:
+    def start() -> Callable:
+        level, last = capacity, None
+
+        def step(at: pd.Timestamp) -> bool:
+            nonlocal level, last
+            if last is not None and not pd.isna(at):
                 level = min(capacity, level + (at - last).total_seconds() * per_second)
-            last = at
-            out.append(level >= 1)
-            level -= out[-1]
-        return group.assign(allowed=out)
+            last = last if pd.isna(at) else at
+            ok = level >= 1
+            level -= ok
+            return ok
+
+        return step
 
-    return rows.groupBy("key").applyInPandas(fold, "key string, ts timestamp, allowed boolean")
+    return folded(rows, [F.asc_nulls_last("ts")], start, "allowed")

@@ -101,6 +101,44 @@ def test_token_bucket(spark):
     assert [r["allowed"] for r in streams.token_bucket(df, 2, 0.5).orderBy("ts").collect()] == [True, True, False, False, True]
 
 
+def test_folds_stream_through_null_keys_and_small_batches(spark):
+    start = dt.datetime(2024, 1, 1)
+    data = [(k, start + dt.timedelta(minutes=7 * i), 1.0) for i in range(300) for k in ("a", None)]
+    data += [("a", None, 1.0), ("a", start, None)]
+    df = spark.createDataFrame(data, "key string, ts timestamp, amount double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = governance.admit(df, 50.0).collect()
+        tokens = streams.token_bucket(df, 2, 1 / 840).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(tokens) == len(data)
+    for key in ("a", None):
+        timed = sorted((r["ts"], r["admitted"]) for r in got if r["key"] == key and r["ts"] and r["amount"])
+        kept = []
+        for at, ok in timed:
+            assert ok == (sum(t >= at - dt.timedelta(days=1) for t in kept) + 1 <= 50)
+            kept += [at] * ok
+    assert [r["admitted"] for r in got if r["ts"] and r["amount"] is None] == [False]
+    assert governance.admit(df.filter("false"), 1.0).count() == 0
+    free = [r["allowed"] for r in sorted((r for r in tokens if r["key"] is None), key=lambda r: r["ts"])]
+    assert free[:2] == [True, True] and 0.45 < sum(free) / len(free) < 0.55
+
+
+@pytest.mark.parametrize("at_once", [100_000, 50])
+def test_value_at_equals_sorting(spark, at_once):
+    rng = random.Random(4)
+    data = [(rng.choice([1.0, 2.0, rng.random() * 5, rng.gauss(0, 100), None]),) for _ in range(3000)] + [(7.0,)] * 900
+    df = spark.createDataFrame(data, "v double").repartition(4)
+    want = sorted(v for (v,) in data if v is not None)
+    n = len(want)
+    for place in (0, 1, n // 2, int(0.95 * n), n - 1):
+        assert evaluation.value_at(df, "v", place, n, at_once) == want[place]
+    assert evaluation.value_at(df, "v", n, n) is None
+    empty = evaluation.dashboard(df.filter("false"), "v", F.lit(False)).first()
+    assert empty["n"] == 0 and empty["p50"] is None and empty["p95"] is None
+
+
 def test_near_duplicates_found(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(500)]
