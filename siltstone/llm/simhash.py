@@ -150,9 +150,10 @@ def links_within(prints: DataFrame, radius: int = 2, cell_rows: int = CELL_ROWS)
     bands = radius + 1
     width = -(-64 // bands)
     mask = (1 << width) - 1
-    n = prints.count()
     rows = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(mask)).alias("value")) for i in range(bands)])).alias("x")).select("fp", "x.*")
-    cells = rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    # at most bands * 2 ** width cells, whatever the number of fingerprints
+    cells = written(rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "cells")
+    n_dealt = cells.agg(F.coalesce(F.sum(F.col("n") * F.ceil(F.col("n") / cell_rows)), F.lit(0))).first()[0]
     rows = rows.join(cells, ["band", "value"])
     parts = F.ceil(F.col("n") / cell_rows).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
@@ -163,8 +164,8 @@ def links_within(prints: DataFrame, radius: int = 2, cell_rows: int = CELL_ROWS)
         F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    tasks = max(8, -(-n * bands // TASK_ROWS))
-    return dealt.withColumn("task", F.pmod("cell", F.lit(tasks)).cast("int")).groupBy("task").applyInArrow(_compare(radius), "a long, b long")
+    tasks = max(8, -(-int(n_dealt) // TASK_ROWS))
+    return dealt.withColumn("task", F.pmod("cell", F.lit(tasks)).cast("int")).repartition(tasks, "task").groupBy("task").applyInArrow(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
