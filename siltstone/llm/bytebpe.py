@@ -21,6 +21,8 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import given_back
+
 #: Encoded pieces kept by a worker; beyond it the table is started anew.
 CACHE_PIECES = 800_000
 #: Pieces longer than this are not kept.
@@ -159,11 +161,11 @@ def _loaded_bpe(packed: bytes, pattern: str, kept_pieces: int) -> ByteBPE:
 _FIELDS = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), kept_pieces: int = CACHE_PIECES) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), kept_pieces: int = CACHE_PIECES, forget: bool = False) -> DataFrame:
     """One row per row of docs: doc_id and the outputs asked for.
 
     outputs: of n_tokens, ids, decoded (bytes made from the ids), ids_sha256 and decoded_sha256.
-    kept_pieces bounds what a worker remembers; it changes no result.
+    kept_pieces bounds what a worker remembers, and with forget it remembers nothing beyond a task; neither changes a result.
     Null and empty texts have no tokens.  Texts are never cut.  Repeated rows give repeated
     results; other columns of docs are ignored.
     """
@@ -195,4 +197,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                             out.append(hashlib.sha256(decoded).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, f[1]) for x, f in zip(made, fields, strict=True))], ["doc_id", *outputs])
 
-    return own.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} {f[0]}" for n, f in zip(outputs, fields, strict=True)))
+    def forgetful(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _loaded.clear()
+
+    return own.mapInArrow(given_back(forgetful) if forget else run, f"doc_id {id_type}, " + ", ".join(f"{n} {f[0]}" for n, f in zip(outputs, fields, strict=True)))

@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 from siltstone.llm import bytebpe
 
 
@@ -29,3 +30,14 @@ def test_pipeline(spark, tmp_path):
     texts[42] = " ".join(texts[42].split()[:31])
     for i, r in got.items():
         assert r["ids_sha256"] == hashlib.sha256(bpe.packed(texts[i])).hexdigest() and r["decoded_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest()
+
+
+def test_a_forgetful_worker_keeps_no_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    maps = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: maps.append(run))
+    for forget in (False, True):
+        bytebpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256"), forget=forget)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["some words and others", None, "ñandú 123"]})
+    kept, forgot = (pa.Table.from_batches([*maps[0](iter([batch]))]), len(bytebpe._loaded)), (pa.Table.from_batches([*maps[1](iter([batch]))]), len(bytebpe._loaded))
+    assert kept[0].equals(forgot[0]) and (kept[1], forgot[1]) == (1, 0)
