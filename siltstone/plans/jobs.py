@@ -16,6 +16,10 @@ from ..operators.governance import ROLE_LEVELS, SENSITIVITY_LEVELS, level_of
 from ..operators.lineage import cut
 
 
+#: Ranked rows (ids and numbers) that are sent to every task.
+RANKED_AT_HAND = 100_000
+
+
 @dataclass(frozen=True)
 class Session:
     """What a caller may see; every read of the index goes through it."""
@@ -87,7 +91,9 @@ def answer(session: Session, chunks: DataFrame, questions: DataFrame, model: Cal
     seen = session.visible(chunks).filter(~title_only(F.col("text")))
     asked = questions.withColumn("q", embed_with(embed, F.col("query")))
     table = seen.select(F.col("chunk_id").alias("id"), "text", F.col("embedding").alias("v"), "source_id")
-    ranked = retrieval.hybrid_search(table.select("id", "text", "v"), asked, top * 3).join(table.select("id", "text", "source_id"), "id")
+    ranked = cut(retrieval.hybrid_search(table.select("id", "text", "v"), asked, top * 3))
+    small = F.broadcast if ranked.count() <= RANKED_AT_HAND else lambda x: x  # then the index stays where it is
+    ranked = table.select("id", "text", "source_id").join(small(ranked), "id")
     capped = context.per_source_cap(ranked, cap).filter(F.col("rank") <= top * 3)
     items = capped.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text", approx_tokens(F.col("text")).alias("tokens")))).alias("items"))
     packed = items.withColumn("items", F.slice(context.greedy_pack(F.col("items"), budget), 1, top))
