@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.python import minhash_of, word_grams
+from ..functions.python import in_pieces, minhash_of, word_grams
 from ..functions.text import lines, stripped
 from ..functions.vectors import signature_similarity
 from .lineage import cut
@@ -79,11 +79,17 @@ def band_table(signed: DataFrame, id_col: str, bands: int = BANDS, permutations:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, k: int = 8) -> DataFrame:
     """(id, item_id, shared): documents that share runs of k words with an item.
 
-    Up to GRAMS_AT_HAND of the items' runs go to every task as checksums, and only runs that have one of those are shuffled."""
-    b = cut(items.select(F.col(item_id).alias("item_id"), F.explode(word_grams(F.col(item_text), k)).alias("gram")))
+    Up to GRAMS_AT_HAND of the items' runs go to every task as checksums, and only runs that have one of those are made and shuffled."""
+
+    def grams(df: DataFrame, own: str, text: str, name: str, among: frozenset[int] | None = None) -> DataFrame:
+        made = lambda i, t: ((i, g) for g in word_grams(t, k, among))
+        schema = f"{name} {df.schema[own].dataType.simpleString()}, gram string"
+        return df.select(own, text).mapInArrow(in_pieces(made, schema), schema)
+
+    b = cut(grams(items, item_id, item_text, "item_id"))
     known = b.select(F.crc32(F.col("gram").cast("binary")).alias("c")).distinct().limit(GRAMS_AT_HAND + 1).collect()
     among = frozenset(r["c"] for r in known) if len(known) <= GRAMS_AT_HAND else None
-    a = docs.select(F.col(id_col).alias("id"), F.explode(word_grams(F.col(text_col), k, among)).alias("gram"))
+    a = grams(docs, id_col, text_col, "id", among)
     return a.join(b, "gram").groupBy("id", "item_id").agg(F.count("*").alias("shared"))
 
 
